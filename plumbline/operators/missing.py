@@ -54,7 +54,7 @@ def suspected_imputation(df: DataFrame, columns: Sequence[str] | None = None) ->
         a, m, n = F.col(f"{c}__a"), F.col(f"{c}__m"), F.col(f"{c}__n")
         hit = F.when(a > 1, a).otherwise(0) + F.when(m > n * 0.1, m).otherwise(0)
         rows.append(F.struct(F.lit(c).alias("column"), a.alias("equal_mean"), m.alias("equal_median"), hit.alias("suspected")))
-    return agg.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
+    return agg.select(F.explode(F.array(*rows)).alias("_cell")).select("_cell.*")
 
 
 def missing_patterns(df: DataFrame, columns: Sequence[str] | None = None, top: int = 5) -> DataFrame:
@@ -118,7 +118,7 @@ def suggest_statistical(df: DataFrame, columns: Sequence[str] | None = None) ->
                 numeric.alias("numeric"), (F.col("_n") - F.col(f"{c}__gaps")).alias("filled"),
             )
         )
-    base = agg.select(F.explode(F.array(*rows)).alias("s")).select("s.*").filter("pct > 0")
+    base = agg.select(F.explode(F.array(*rows)).alias("_cell")).select("_cell.*").filter("pct > 0")
     top = modes(df, cols).select("column", F.col("n").alias("_top"))
     other = F.when(F.col("_top") / F.col("filled") > 0.5, "mode_imputation").otherwise("constant_imputation")
     return base.join(top, "column", "left").select(
@@ -188,5 +188,5 @@ def fill_counts(before: DataFrame, after: DataFrame, columns: Sequence[str]) ->
             F.array(
                 *[F.struct(F.lit(c).alias("column"), (F.col(f"{c}__b") - F.col(f"{c}__a")).alias("filled")) for c in columns]
             )
-        ).alias("s")
-    ).select("s.*")
+        ).alias("_cell")
+    ).select("_cell.*")

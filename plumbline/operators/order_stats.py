@@ -217,8 +217,8 @@ def hash_cuts(df: DataFrame, draw_col: str, quotas: DataFrame, by: Sequence[str]
     by = list(by)
     if is_small(df, 2.0):
         w = W.partitionBy(*by).orderBy(draw_col)
-        base = df.select(*by, draw_col).withColumn("_rn", F.row_number().over(w))
-        hits = _match(base, quotas, by).filter(F.col("_rn") == F.col("take"))
+        base = df.select(*by, draw_col).withColumn("take", F.row_number().over(w).cast("bigint"))
+        hits = base.join(quotas, [*by, "take"])
     else:
         digits = 4
         rows = df.select(*by, draw_col).withColumn("_b", F.substring(draw_col, 1, digits))

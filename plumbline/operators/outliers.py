@@ -60,8 +60,8 @@ def outliers(
             ]
         )
     )
-    return wide.select(F.col(key).alias("key"), F.explode(cells).alias("s")).select(
-        "key", "s.*", F.lit(method).alias("method")
+    return wide.select(F.col(key).alias("key"), F.explode(cells).alias("_cell")).select(
+        "key", "_cell.*", F.lit(method).alias("method")
     )
 
 
@@ -93,8 +93,8 @@ def outlier_counts(df: DataFrame, columns: Sequence[str], method: str = "iqr", t
         *[F.count_if(_is_out(c, method, threshold, population=False)).alias(c) for c in cols]
     )
     return agg.select(
-        F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("outliers")) for c in cols])).alias("s")
-    ).select("s.*")
+        F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("outliers")) for c in cols])).alias("_cell")
+    ).select("_cell.*")
 
 
 def remove_outliers(df: DataFrame, columns: Sequence[str], method: str = "iqr", threshold: float = 1.5) -> DataFrame:

@@ -36,7 +36,7 @@ def rows_of(values: dict[tuple[str, str], Column], names: tuple[str, str] = ("co
                 for (a, b), v in values.items()
             ]
         )
-    ).alias("s")
+    ).alias("_cell")
 
 
 def long_values(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -44,7 +44,7 @@ def long_values(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ())
     cells = F.array(
         *[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]
     )
-    return df.select(*keep, F.explode(cells).alias("s")).select(*keep, "s.*").filter("value IS NOT NULL")
+    return df.select(*keep, F.explode(cells).alias("_cell")).select(*keep, "_cell.*").filter("value IS NOT NULL")
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -59,7 +59,7 @@ def null_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
     for c in cols:
         out[(c, "null_count")] = F.col(c)
         out[(c, "null_pct")] = F.round(F.col(c) * 100.0 / F.col("_n"), 2)
-    return agg.select(rows_of(out)).select("s.*")
+    return agg.select(rows_of(out)).select("_cell.*")
 
 
 def distinct_stats(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
@@ -71,7 +71,7 @@ def distinct_stats(df: DataFrame, columns: Sequence[str] | None = None, exact: b
         for c in cols:
             out[(c, "distinct_count")] = F.col(c)
             out[(c, "distinct_pct")] = F.round(F.col(c) * 100.0 / F.col("_n"), 2)
-        return agg.select(rows_of(out)).select("s.*")
+        return agg.select(rows_of(out)).select("_cell.*")
     n = df.agg(F.count(F.lit(1)).alias("_n"))
     distinct = value_counts(df, cols).groupBy("column").agg(F.count(F.lit(1)).alias("_d"))
     names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
@@ -105,7 +105,7 @@ def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
         for n in ("min", "max", "mean", "std"):
             out[(c, n)] = F.col(f"{c}__{n}")
         out[(c, "median")] = F.col(quantile_name(c, 0))
-    return both.select(rows_of(out)).select("s.*")
+    return both.select(rows_of(out)).select("_cell.*")
 
 
 def modes(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -139,7 +139,7 @@ def pattern_counts(df: DataFrame, columns: Sequence[str] | None = None, patterns
             for n in pats
         ]
     )
-    return agg.select(F.explode(cells).alias("s")).select("s.*").filter("matches > 0")
+    return agg.select(F.explode(cells).alias("_cell")).select("_cell.*").filter("matches > 0")
 
 
 def sample_values(df: DataFrame, key: str, columns: Sequence[str] | None = None, n: int = 10) -> DataFrame:
@@ -157,8 +157,7 @@ def sample_values(df: DataFrame, key: str, columns: Sequence[str] | None = None,
 def type_evidence(df: DataFrame, columns: Sequence[str] | None = None, formats: list[str] | None = None) -> DataFrame:
     """Per column: storage family, non-null count and how many values parse as each type."""
     cols = list(columns or df.columns)
-    family = {}
-    exprs = []
+    family, parsed, exprs = {}, {}, []
     for f in df.schema:
         if f.name not in cols:
             continue
@@ -166,7 +165,8 @@ def type_evidence(df: DataFrame, columns: Sequence[str] | None = None, formats:
         exprs.append(F.count(c).alias(f"{f.name}__n"))
         if isinstance(f.dataType, T.StringType):
             family[f.name] = "text"
-            num = P.to_number(c)
+            parsed[f"{f.name}__v"] = P.to_number(c)  # parsed once, counted twice
+            num = F.col(f"{f.name}__v")
             exprs += [
                 F.count(num).alias(f"{f.name}__num"),
                 F.count_if(num == F.floor(num)).alias(f"{f.name}__whole"),
@@ -186,6 +186,7 @@ def type_evidence(df: DataFrame, columns: Sequence[str] | None = None, formats:
             family[f.name] = "datetime"
         else:
             family[f.name] = "other"
+    df = df.select(*cols).withColumns(parsed) if parsed else df
     agg = df.agg(*exprs)
     have = set(agg.columns)
     part = lambda c, m: (F.col(f"{c}__{m}") if f"{c}__{m}" in have else F.lit(0)).cast("bigint").alias(m)
@@ -198,7 +199,7 @@ def type_evidence(df: DataFrame, columns: Sequence[str] | None = None, formats:
             for c in cols
         ]
     )
-    return agg.select(F.explode(rows).alias("s")).select("s.*")
+    return agg.select(F.explode(rows).alias("_cell")).select("_cell.*")
 
 
 def infer_types(df: DataFrame, columns: Sequence[str] | None = None, formats: list[str] | None = None) -> DataFrame:
@@ -238,7 +239,7 @@ def light_profile(df: DataFrame, key: str | None = None) -> DataFrame:
     )
     stats = agg.select(
         rows_of({(c, n): F.col(f"{c}__{n}") for c in nums for n in ("mean", "std", "min", "max")})
-    ).select("s.*")
+    ).select("_cell.*")
     from plumbline.operators.duplicates import exact_duplicates
 
     dups = exact_duplicates(df, cols).select(

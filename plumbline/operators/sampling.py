@@ -54,8 +54,8 @@ def assign_folds(
     edge = lambda i: (F.floor(F.col("_n") / k) * i + F.least(F.lit(i), F.col("_n") % k)).cast("bigint")
     quotas = sizes.select(
         label,
-        F.explode(F.array(*[F.struct(F.lit(i).alias("slot"), edge(i).alias("take")) for i in range(1, k)])).alias("s"),
-    ).select(label, "s.slot", "s.take")
+        F.explode(F.array(*[F.struct(F.lit(i).alias("slot"), edge(i).alias("take")) for i in range(1, k)])).alias("_cell"),
+    ).select(label, "_cell.slot", "_cell.take")
     cuts = hash_cuts(drawn, "_h", quotas, [label]).groupBy(label).agg(F.sort_array(F.collect_list("cut")).alias("_cuts"))
     return bounded_join(drawn, cuts, [label]).withColumn(
         name, F.size(F.filter("_cuts", lambda c: c < F.col("_h"))).cast("int")

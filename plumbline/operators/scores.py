@@ -107,8 +107,8 @@ def quality_scores(df: DataFrame, columns: Sequence[str] | None = None, compat:
     return score_row(df, columns, compat).select(
         F.explode(
             F.array(*[F.struct(F.lit(m).alias("metric"), F.round(m, 2).alias("score")) for m in METRICS])
-        ).alias("s")
-    ).select("s.*")
+        ).alias("_cell")
+    ).select("_cell.*")
 
 
 def upload_scores(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -205,4 +205,4 @@ def recommendations(profile: DataFrame, scores: DataFrame) -> DataFrame:
             auto("Automated duplicate detection and removal", F.col("uniqueness") < 95),
         )
     )
-    return typed.unionByName(facts.select(F.explode(rows).alias("s")).select("s.*"))
+    return typed.unionByName(facts.select(F.explode(rows).alias("_cell")).select("_cell.*"))

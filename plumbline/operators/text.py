@@ -93,8 +93,8 @@ def changed_counts(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:
     """(column, changed): cells whose value differs from the expression, NULL-safe."""
     agg = df.agg(*[F.count_if(~F.col(c).eqNullSafe(e)).alias(c) for c, e in exprs.items()])
     return agg.select(
-        F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("changed")) for c in exprs])).alias("s")
-    ).select("s.*")
+        F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("changed")) for c in exprs])).alias("_cell")
+    ).select("_cell.*")
 
 
 def format_expr(column: str, rule: dict) -> Column:

@@ -44,8 +44,8 @@ def snapshot(df: DataFrame) -> DataFrame:
     )
     return (
         df.agg(F.count(F.lit(1)).alias("n_rows"))
-        .select(F.explode(cols).alias("s"), "n_rows")
-        .select("s.*", "n_rows", F.lit(len(df.columns)).alias("n_columns"))
+        .select(F.explode(cols).alias("_cell"), "n_rows")
+        .select("_cell.*", "n_rows", F.lit(len(df.columns)).alias("n_columns"))
     )
 
 
