@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from plumbline.operators.order_stats import bounded_join
+from plumbline.session import is_small
 
 
 def exact_duplicates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -43,6 +44,9 @@ def flag_repeats(df: DataFrame, by: Sequence[str | Column], key: str, name: str
     parts = [F.col(c) if isinstance(c, str) else c for c in by]
     keyed = df.withColumns({f"_k{i}": c for i, c in enumerate(parts)})
     ks = [f"_k{i}" for i in range(len(parts))]
+    if is_small(df, 2.0):
+        rn = F.row_number().over(W.partitionBy(*ks).orderBy(key))
+        return keyed.withColumn(name, (rn > 1).cast("int")).select(*df.columns, name)
     # only keys that repeat travel to the join
     firsts = keyed.groupBy(*ks).agg(F.min(key).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     out = bounded_join(keyed, firsts, ks, "left")

@@ -8,10 +8,12 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from plumbline.operators.duplicates import flag_repeats
 from plumbline.operators.inject import POSITIVE_LIST
 from plumbline.operators.order_stats import bounded_join, clipped, one_row, quantile_name, quantiles
+from plumbline.session import is_small
 
 
 def safe_log10(c: Column) -> Column:
@@ -21,12 +23,17 @@ def safe_log10(c: Column) -> Column:
 def robust_z(df: DataFrame, value: str, by: Sequence[str], name: str = "z") -> DataFrame:
     """|value - group median| / (1.4826 x group MAD); a MAD of at most 1e-6 divides by one."""
     by = list(by)
+    scale = lambda mad: F.when(mad > 1e-6, 1.4826 * mad).otherwise(1.0)
+    if is_small(df, 2.0):
+        w = W.partitionBy(*by)
+        out = df.withColumn("_dev", F.abs(F.col(value) - F.median(value).over(w)))
+        out = out.withColumn(name, F.col("_dev") / scale(F.median("_dev").over(w)))
+        return out.select(*df.columns, name)
     med = quantiles(df, [value], [0.5], by).withColumnRenamed(quantile_name(value, 0), "_med")
     dev = bounded_join(df, med, by).withColumn("_dev", F.abs(F.col(value) - F.col("_med")))
     mad = quantiles(dev, ["_dev"], [0.5], by).withColumnRenamed(quantile_name("_dev", 0), "_mad")
     out = bounded_join(dev, mad, by)
-    z = F.col("_dev") / F.when(F.col("_mad") > 1e-6, 1.4826 * F.col("_mad")).otherwise(1.0)
-    return out.withColumn(name, z).select(*df.columns, name)
+    return out.withColumn(name, F.col("_dev") / scale(F.col("_mad"))).select(*df.columns, name)
 
 
 class Rule(NamedTuple):
