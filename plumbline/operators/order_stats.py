@@ -260,3 +260,29 @@ def lowest_cut(df: DataFrame, draw_col: str, take: int) -> str:
 
 def clipped(c: Column, lo: float, hi: float) -> Column:
     return F.least(F.greatest(c, F.lit(lo)), F.lit(hi))
+
+
+# --- ranks of rows ---------------------------------------------------------------------------------
+
+
+def rank_rows(df: DataFrame, value: str, by: Sequence[str] = (), rank: str = "rnk", dense: str = "dense") -> DataFrame:
+    """rank() and dense_rank() by ascending ``value``; large inputs rank distinct values and join back."""
+    if is_small(df, 2.0):
+        w = W.partitionBy(*by).orderBy(value)
+        return df.withColumns({rank: F.rank().over(w).cast("bigint"), dense: F.dense_rank().over(w).cast("bigint")})
+    ranks = value_ranks(df, value, by).select(*by, value, (F.col("n_lt") + 1).alias(rank), F.col("dense_rank").alias(dense))
+    return bounded_join(df, ranks, [*by, value])
+
+
+def tiles(df: DataFrame, order_by: Sequence[str], k: int, by: Sequence[str] = (), name: str = "tile") -> DataFrame:
+    """ntile(k) from row numbers and group sizes: the first n % k tiles hold one row more."""
+    by = list(by)
+    n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    rn = ranked(df, order_by, by, "_rn")
+    j = bounded_join(rn, n, by) if by else one_row(rn, n)
+    size, rest = F.floor(F.col("_n") / k), F.col("_n") % k
+    edge = rest * (size + 1)
+    tile = F.when(F.col("_rn") <= edge, F.ceil(F.col("_rn") / (size + 1))).otherwise(
+        rest + F.ceil((F.col("_rn") - edge) / F.greatest(size, F.lit(1)))
+    )
+    return j.withColumn(name, tile.cast("bigint")).select(*df.columns, name)
