@@ -244,7 +244,8 @@ def full_text_search(df: DataFrame, key: str, column: str, query: str) -> DataFr
     """
     wanted = sorted(set(query.lower().split()))
     words = F.regexp_extract_all(F.lower(F.col(column)), F.lit(TOKEN), F.lit(0))
-    hits = [F.size(F.filter("_w", lambda x, q=q: x == q)) for q in wanted]
+    count_of = lambda q: F.size(F.filter("_w", lambda x: x == q))
+    hits = [count_of(q) for q in wanted]
     counted = df.select(F.col(key).alias("key"), words.alias("_w")).select(
         "key", *[h.cast("bigint").alias(f"_t{i}") for i, h in enumerate(hits)]
     )

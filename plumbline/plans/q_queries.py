@@ -103,7 +103,7 @@ def q12(t):
 both(
     "q13_chained_ctes",
     """WITH spend AS (SELECT o_custkey, sum(o_totalprice) AS total FROM {orders} GROUP BY o_custkey), ranked AS (SELECT c_nationkey, total FROM spend JOIN {customer} ON c_custkey = o_custkey)
-    SELECT n_name, count(*) AS customers, round(avg(total), 2) AS avg_spend FROM ranked JOIN {nation} ON n_nationkey = c_nationkey GROUP BY n_name""",
+    SELECT n_name, count(*) AS customers, round(sum(total), 2) AS spend FROM ranked JOIN {nation} ON n_nationkey = c_nationkey GROUP BY n_name""",
 )
 both(
     "q13_risk_agencies",
@@ -223,22 +223,27 @@ def q20(t):
     return out.select("o_orderkey", F.round("avg7", 4).alias("avg7"), F.round("sum30", 2).alias("sum30"))
 
 
+def exact(t):
+    """Orders with the price as a decimal, so that sums do not depend on their order."""
+    return t.orders.select("o_orderkey", "o_orderdate", "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
+
+
 @query(
     "q21_running_total_partitioned",
-    "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 1) AS running FROM orders",
+    "SELECT o_orderkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS running FROM orders",
 )
 def q21(t):
-    out = o.running_totals(orders(t), ["o_orderdate", "o_orderkey"], {"running": "o_totalprice"}, ["o_orderstatus"])
-    return out.select("o_orderkey", F.round("running", 1).alias("running"))
+    out = o.running_totals(exact(t), ["o_orderdate", "o_orderkey"], {"running": "price"}, ["o_orderstatus"])
+    return out.select("o_orderkey", F.col("running").cast("double").alias("running"))
 
 
 @query(
     "q21_running_total_global",
-    "SELECT o_orderkey, round(sum(o_totalprice) OVER (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 1) AS running FROM orders",
+    "SELECT o_orderkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS running FROM orders",
 )
 def q21_global(t):
-    out = o.running_totals(orders(t), ["o_orderdate", "o_orderkey"], {"running": "o_totalprice"})
-    return out.select("o_orderkey", F.round("running", 1).alias("running"))
+    out = o.running_totals(exact(t), ["o_orderdate", "o_orderkey"], {"running": "price"})
+    return out.select("o_orderkey", F.col("running").cast("double").alias("running"))
 
 
 both(
@@ -422,7 +427,7 @@ both(
 both("q35_column_difference", "SELECT row_id, bill_amt1, bill_amt2, bill_amt1 - bill_amt2 AS delta FROM (" + CREDIT + ") c WHERE abs(bill_amt1 - bill_amt2) > 50000")
 both(
     "q37_scalar_functions",
-    """SELECT c_custkey, round(abs(c_acctbal - 5000), 1) AS distance, upper(substr(c_mktsegment, 1, 4)) AS code, concat(c_name, '/', c_mktsegment) AS label,
+    """SELECT c_custkey, round(abs(c_acctbal - 5000), 2) AS distance, upper(substr(c_mktsegment, 1, 4)) AS code, concat(c_name, '/', c_mktsegment) AS label,
     CAST(CAST(c_acctbal AS DECIMAL(18, 2)) AS STRING) AS exact FROM {customer}""",
 )
 
