@@ -68,6 +68,8 @@ def main(argv):
     from plumbline.session import local_session
 
     spark = local_session()
+    if os.environ.get("SMALL_BYTES"):  # 0 forces the plans for large inputs
+        spark.conf.set("spark.plumbline.smallBytes", os.environ["SMALL_BYTES"])
     con = connect(root)
     sqls, failed = oracle_sql(), []
     for name, build in queries().items():
