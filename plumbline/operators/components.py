@@ -34,12 +34,14 @@ def components(edges: DataFrame, a: str = "key_a", b: str = "key_b") -> DataFram
     is checkpointed, which bounds the plan and survives lost executors.
     """
     work = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct()
-    mark = None
     while True:
         work = cut_lineage(_small_star(_large_star(work)))
-        now = work.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
+        ends = work.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(
+            work.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("root"))
+        )
+        # done when every node has one link and no root is linked further: disjoint stars
+        loose = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("root").alias("root")).filter("up > 1 OR (up = 1 AND root = 1)")
+        if loose.isEmpty():
             break
-        mark = now
     roots = work.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return work.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -206,27 +206,46 @@ def loda_weights(d: int, projections: int, seed: int) -> np.ndarray:
 def loda(df: DataFrame, key: str, features: Sequence[str], projections: int = 100, bins: int = 10, seed: int = 42) -> DataFrame:
     """(key, loda): mean -ln of histogram probabilities over random projections.
 
-    The input is standardised first. Projections are column arithmetic on one array; the histograms
-    are one aggregate of projections x bins rows.
+    The input is standardised first. Three Arrow maps: ends, histograms and scores. The first two
+    hand on one row per partition, and only projections x bins numbers reach the driver.
     """
     fs = list(features)
     base = scale(df.select(F.col(key).alias("key"), *[F.col(c).cast("double").alias(c) for c in fs]), fs)
-    weights = loda_weights(len(fs), projections, seed)
-    dots = [reduce(lambda a, b: a + b, [F.col(fs[j]) * F.lit(float(w[j])) for j in np.flatnonzero(w)]) for w in weights]
-    proj = base.select("key", F.array(*dots).alias("p"))
-    ends = proj.select(F.posexplode("p").alias("i", "v")).groupBy("i").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).agg(
-        F.array_sort(F.collect_list(F.struct("i", "lo", "hi"))).alias("_ends")  # one entry per projection
-    )
-    bins_of = F.transform(
-        "p", lambda v, i: _bin(v, F.element_at("_ends", i + 1)["lo"], F.element_at("_ends", i + 1)["hi"], bins) + i * bins
-    )
-    binned = one_row(proj, ends).select("key", bins_of.alias("b"))
-    table = binned.select(F.explode("b").alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).agg(
-        F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("_counts")
-    )
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
-    total = F.aggregate("b", F.lit(0.0), lambda a, b: a - F.ln(F.element_at("_counts", b) / F.col("_n")))
-    return one_row(one_row(binned, table), n).select("key", (total / projections).alias("loda"))
+    weights = loda_weights(len(fs), projections, seed).T
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lo, hi, seen = np.full(projections, np.inf), np.full(projections, -np.inf), False
+        for pdf in batches:
+            if len(pdf):
+                p = pdf[fs].to_numpy(dtype=float) @ weights
+                lo, hi, seen = np.minimum(lo, p.min(axis=0)), np.maximum(hi, p.max(axis=0)), True
+        if seen:
+            yield pd.DataFrame({"lo": [lo.tolist()], "hi": [hi.tolist()]})
+
+    part = base.mapInPandas(ends, "lo array<double>, hi array<double>").select(F.posexplode(F.arrays_zip("lo", "hi")).alias("i", "z"))
+    limits = part.groupBy("i").agg(F.min("z.lo").alias("lo"), F.max("z.hi").alias("hi")).orderBy("i").toPandas()
+    low = limits["lo"].to_numpy()
+    step = np.where(limits["hi"].to_numpy() > low, (limits["hi"].to_numpy() - low) / bins, 1.0)
+
+    def cells(pdf: pd.DataFrame) -> np.ndarray:
+        at = np.floor((pdf[fs].to_numpy(dtype=float) @ weights - low) / step)
+        return np.clip(at, 0, bins - 1).astype(np.int64) + np.arange(projections) * bins
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(projections * bins, dtype=np.int64)
+        for pdf in batches:
+            total += np.bincount(cells(pdf).ravel(), minlength=projections * bins)
+        yield pd.DataFrame({"n": [total.tolist()]})
+
+    counts = base.mapInPandas(count, "n array<long>").select(F.posexplode("n").alias("b", "n")).groupBy("b").agg(F.sum("n").alias("n"))
+    table = counts.orderBy("b").toPandas()["n"].to_numpy(dtype=float)
+    surprise = -np.log(np.maximum(table, 1.0) / (table.sum() / projections))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"key": pdf["key"], "loda": surprise[cells(pdf)].mean(axis=1)})
+
+    return base.mapInPandas(score, f"key {dict(df.dtypes)[key]}, loda double")
 
 
 # --- several detectors together --------------------------------------------------------------------

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from plumbline.session import cut_lineage, is_small, shuffle_width
+from plumbline.session import freeze, is_small, shuffle_width
 
 SKETCH_ACCURACY = 100_000
 
@@ -25,8 +25,12 @@ def bounded_join(big: DataFrame, side: DataFrame, on: Sequence[str], how: str =
 
 
 def one_row(df: DataFrame, row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate to every row."""
-    return df.crossJoin(F.broadcast(row))
+    """Attach the columns of a one-row aggregate to every row, as a scalar subquery.
+
+    The table keeps its own plan and size estimate, and more than one row is a run-time error.
+    """
+    held = row.select(F.struct(*row.columns).alias("_row")).scalar()
+    return df.withColumn("_row", held).select(*df.columns, *[F.col("_row")[c].alias(c) for c in row.columns])
 
 
 def running_totals(
@@ -43,7 +47,7 @@ def running_totals(
     # Range partitions split a hot group by its order key. The checkpoint freezes the cut points,
     # so totals and local sums see the same partitions even if tasks are retried.
     width = shuffle_width(df.sparkSession)
-    ranged = cut_lineage(df.repartitionByRange(width, *by, *order_by)).withColumn(
+    ranged = freeze(df.repartitionByRange(width, *by, *order_by)).withColumn(
         "_pid", F.spark_partition_id()
     )
     before = W.partitionBy(*by).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window as W
 
 from plumbline.operators.components import components
 from plumbline.operators.order_stats import bounded_join, one_row
-from plumbline.session import cut_lineage
+from plumbline.session import cut_lineage, spread
 
 # fixed values: English stop words
 STOP_WORDS = (
@@ -39,7 +39,7 @@ def bags(df: DataFrame, key: str, columns: Sequence[str]) -> tuple[DataFrame, Da
     smallest key (doc), number of rows (copies) and words. Rows that share a bag are one document,
     so a text copied into a third of the table is compared once."""
     text = F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    worded = df.select(F.col(key).alias("key"), F.array_sort(tokens(text)).alias("words"))
+    worded = spread(df.select(key, *columns)).select(F.col(key).alias("key"), F.sort_array(tokens(text)).alias("words"))
     worded = worded.withColumn("bag", F.md5(F.array_join("words", " ")))
     docs = worded.groupBy("bag").agg(
         F.min("key").alias("doc"), F.count(F.lit(1)).alias("copies"), F.any_value("words").alias("words")
@@ -52,8 +52,11 @@ def tfidf(docs: DataFrame, vocabulary: int = DEFAULT_VOCABULARY) -> DataFrame:
 
     Terms are numbered by ascending document frequency; documents without a term are left out.
     """
-    tf = docs.select("doc", "bag", "copies", F.explode("words").alias("term")).groupBy("doc", "bag", "copies", "term").agg(
-        F.count(F.lit(1)).alias("tf")
+    # written once: the vocabulary and the vectors both read it
+    tf = cut_lineage(
+        docs.select("doc", "copies", F.explode("words").alias("term")).groupBy("doc", "term").agg(
+            F.count(F.lit(1)).alias("tf"), F.any_value("copies").alias("copies")
+        )
     )
     n = docs.agg(F.sum("copies").alias("_n"))
     vocab = (
@@ -66,10 +69,10 @@ def tfidf(docs: DataFrame, vocabulary: int = DEFAULT_VOCABULARY) -> DataFrame:
         (F.ln((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"),
     )
     weighed = bounded_join(tf, numbered, ["term"]).withColumn("w", F.col("tf") * F.col("idf"))
-    vec = weighed.groupBy("doc", "bag", "copies").agg(
-        F.array_sort(F.collect_list(F.struct("t", "w"))).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
+    vec = weighed.groupBy("doc").agg(
+        F.sort_array(F.collect_list(F.struct("t", "w"))).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
     )
-    return vec.select(
+    return docs.select("doc", "bag", "copies").join(vec, "doc").select(
         "doc", "bag", "copies", F.col("v.t").alias("terms"), F.transform("v.w", lambda x: x / F.col("norm")).alias("weights")
     )
 
@@ -123,21 +126,22 @@ def similar_docs(vectors: DataFrame, threshold: float = 0.85, forest: bool = Fal
         if len(left) == 0 or len(right) == 0 or (i == j and len(left) < 2):
             return none
         used, at = np.unique(np.concatenate(pdf["terms"].to_numpy()), return_inverse=True)
+        sizes = pdf["terms"].str.len().to_numpy()
+        rows = np.repeat(np.arange(len(pdf)), sizes)
         dense = np.zeros((len(pdf), len(used)))
-        rows = np.repeat(np.arange(len(pdf)), [len(x) for x in pdf["terms"]])
         dense[rows, at] = np.concatenate(pdf["weights"].to_numpy())
         sim = dense[left] @ dense[right].T
-        a, b = np.nonzero(sim > threshold)
+        # pairs with an earlier common prefix term belong to that term's list
+        place = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        early = (place < np.repeat(pdf["p"].to_numpy(), sizes)) & (used[at] < term)
+        marks = np.zeros((len(pdf), int(np.searchsorted(used, term))), dtype=np.float32)
+        marks[rows[early], at[early]] = 1.0
+        a, b = np.nonzero((sim > threshold) & ((marks[left] @ marks[right].T) == 0))
         if i == j:
             a, b = a[a < b], b[a < b]
         docs = pdf["doc"].to_numpy()
-        prefixes = [x[:p] for x, p in zip(pdf["terms"], pdf["p"])]
-        out = []
-        for x, y in zip(a, b):
-            l, r = left[x], right[y]
-            if np.intersect1d(prefixes[l], prefixes[r], assume_unique=True)[0] == term:
-                lo, hi = (docs[l], docs[r]) if docs[l] < docs[r] else (docs[r], docs[l])
-                out.append((lo, hi, sim[x, y]))
+        x, y = docs[left[a]], docs[right[b]]
+        out = list(zip(np.minimum(x, y), np.maximum(x, y), sim[a, b]))
         if forest:
             out = _spanning(out)
         return pd.DataFrame(out, columns=["doc_a", "doc_b", "sim"]) if out else none
@@ -171,6 +175,7 @@ def fuzzy_pairs(
     Copies are linked to their first row, not to each other: n copies give n - 1 pairs.
     """
     members, docs = bags(df, key, columns)
+    docs = cut_lineage(docs)
     vectors = cut_lineage(tfidf(docs, vocabulary))
     distinct = similar_docs(vectors, threshold).toDF("key_a", "key_b", "sim")
     known = vectors.select("bag", "doc")
@@ -183,6 +188,7 @@ def fuzzy_pairs(
 def _grouped(df: DataFrame, key: str, columns: Sequence[str], threshold: float, vocabulary: int):
     """(members with component, vectors with component) of all rows in a group of two or more."""
     members, docs = bags(df, key, columns)
+    docs = cut_lineage(docs)
     vectors = cut_lineage(tfidf(docs, vocabulary))
     comp = components(similar_docs(vectors, threshold, forest=True), "doc_a", "doc_b").toDF("doc", "component")
     labelled = vectors.join(comp, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
@@ -246,7 +252,7 @@ def full_text_search(df: DataFrame, key: str, column: str, query: str) -> DataFr
     words = F.regexp_extract_all(F.lower(F.col(column)), F.lit(TOKEN), F.lit(0))
     count_of = lambda q: F.size(F.filter("_w", lambda x: x == q))
     hits = [count_of(q) for q in wanted]
-    counted = df.select(F.col(key).alias("key"), words.alias("_w")).select(
+    counted = spread(df.select(key, column)).select(F.col(key).alias("key"), words.alias("_w")).select(
         "key", *[h.cast("bigint").alias(f"_t{i}") for i, h in enumerate(hits)]
     )
     stats = counted.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(f"_t{i}") > 0).alias(f"_d{i}") for i in range(len(wanted))])

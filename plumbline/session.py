@@ -40,7 +40,12 @@ def is_small(df: DataFrame, growth: float = 1.0) -> bool:
     ``growth`` covers operators whose fan-out the estimate does not see (explode, pandas maps).
     """
     limit = int(df.sparkSession.conf.get(SMALL_BYTES_CONF, str(DEFAULT_SMALL_BYTES)))
-    return plan_bytes(df) * growth <= limit
+    return plan_bytes(df) <= int(limit / growth)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for CPU-heavy work on a small input, which may be a single file split."""
+    return df.repartition(shuffle_width(df.sparkSession)) if is_small(df) else df
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -59,12 +64,20 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives executor loss and freezes the partitioning."""
+def freeze(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: keeps the partitions and their row order, survives executor loss."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Stage output: a Parquet table in the shared folder. Unlike a checkpoint it gives later plans
+    its true size, column pruning and pushed filters."""
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared checkpoint folder."""
     return f"{checkpoint_root(spark).rstrip('/')}/plumbline-{name}-{uuid.uuid4().hex}"
