@@ -67,18 +67,18 @@ def near_names(df: DataFrame, block: Sequence[str], name: str, key: str) -> Data
     """
     block = list(block)
     names = (
-        df.filter(F.col(name).isNotNull()).groupBy(*block, name)
-        .agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first_key"))
+        df.filter(F.col(name).isNotNull()).groupBy(*block, F.col(name).alias("_name"))
+        .agg(F.count(F.lit(1)).alias("_rows"), F.min(key).alias("_key"))
     )
     cut = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))),
-        lambda i: F.concat(F.substring(F.col(name), F.lit(1), i - 1), F.substring(F.col(name), i + 1, F.length(name))),
+        F.sequence(F.lit(1), F.greatest(F.length("_name"), F.lit(1))),
+        lambda i: F.concat(F.substring("_name", F.lit(1), i - 1), F.substring(F.col("_name"), i + 1, F.length("_name"))),
     )
-    variants = names.select(
-        *block, name, "n", "first_key", F.explode(F.array_distinct(F.concat(F.array(F.col(name)), cut))).alias("variant")
+    variants = names.withColumn("variant", F.explode(F.array_distinct(F.concat(F.array(F.col("_name")), cut))))
+    side = lambda s: variants.select(
+        *block, "variant", F.col("_name").alias(f"name_{s}"), F.col("_rows").alias(f"n_{s}"), F.col("_key").alias(f"key_{s}")
     )
-    a = variants.select(*block, "variant", F.col(name).alias("name_a"), F.col("n").alias("n_a"), F.col("first_key").alias("key_a"))
-    b = variants.select(*block, "variant", F.col(name).alias("name_b"), F.col("n").alias("n_b"), F.col("first_key").alias("key_b"))
+    a, b = side("a"), side("b")
     pairs = a.join(b, [*block, "variant"]).filter(
         (F.col("name_a") < F.col("name_b")) & (F.levenshtein("name_a", "name_b", 1) == 1)
     )
