@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from plumbline.session import freeze, is_small, shuffle_width
@@ -24,13 +25,33 @@ def bounded_join(big: DataFrame, side: DataFrame, on: Sequence[str], how: str =
     return big.join(F.broadcast(side) if is_small(side, 4.0) else side, list(on), how)
 
 
+def literal(value, kind: T.DataType) -> Column:
+    """A collected value as a typed literal."""
+    if value is None:
+        return F.lit(None).cast(kind)
+    if isinstance(kind, T.ArrayType):
+        return F.array(*[literal(v, kind.elementType) for v in value]).cast(kind)
+    if isinstance(kind, T.MapType):
+        pairs = [x for k, v in value.items() for x in (literal(k, kind.keyType), literal(v, kind.valueType))]
+        return F.create_map(*pairs).cast(kind)
+    if isinstance(kind, T.StructType):
+        return F.struct(*[literal(value[f.name], f.dataType).alias(f.name) for f in kind])
+    if isinstance(kind, T.TimestampNTZType):
+        return F.lit(value.isoformat(sep=" ")).cast(kind)
+    return F.lit(value).cast(kind)
+
+
 def one_row(df: DataFrame, row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate to every row, as a scalar subquery.
+    """Attach the columns of a one-row aggregate to every row.
 
-    The table keeps its own plan and size estimate, and more than one row is a run-time error.
+    The row is computed first and becomes literals: the table keeps its own plan and size estimate,
+    needs no join, and filters against the values reach the scan.
     """
-    held = row.select(F.struct(*row.columns).alias("_row")).scalar()
-    return df.withColumn("_row", held).select(*df.columns, *[F.col("_row")[c].alias(c) for c in row.columns])
+    found = row.take(2)
+    if len(found) > 1:
+        raise ValueError("one_row needs an aggregate without groups")
+    values = found[0] if found else dict.fromkeys(row.columns)
+    return df.select("*", *[literal(values[f.name], f.dataType).alias(f.name) for f in row.schema])
 
 
 def running_totals(

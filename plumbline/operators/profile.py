@@ -66,7 +66,7 @@ def distinct_stats(df: DataFrame, columns: Sequence[str] | None = None, exact: b
     """Distinct non-null count and percentage of rows. ``exact=False`` uses a sketch in one pass."""
     cols = list(columns or df.columns)
     if not exact:
-        agg = df.agg(F.count(F.lit(1)).alias("_n"), *[F.approx_count_distinct(c, 0.01).alias(c) for c in cols])
+        agg = df.agg(F.count(F.lit(1)).alias("_n"), *[F.approx_count_distinct(c, 0.02).alias(c) for c in cols])
         out = {}
         for c in cols:
             out[(c, "distinct_count")] = F.col(c)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from plumbline.operators import pipeline as p
+from plumbline.operators.order_stats import one_row
 from plumbline.plans.c_profile import DISTINCT, NUMERIC, pattern_sql, stack
 from plumbline.plans.d_scores import SCORE_ROW
 from plumbline.plans.registry import duck, query
@@ -76,8 +77,8 @@ METRICS = f"""{R}, k AS (SELECT max(ts) AS now FROM r), m AS (SELECT count(*) FI
 
 def metrics(t):
     runs = t.sql(RUNS)
-    now = runs.agg(F.max("ts")).first()[0]
-    return p.run_metrics(runs, "status", "ts", F.lit(now).cast("timestamp_ntz")).withColumn("response_ms", F.round("response_ms", 4))
+    clocked = one_row(runs, runs.agg(F.max("ts").alias("now")))
+    return p.run_metrics(clocked, "status", "ts", F.col("now")).withColumn("response_ms", F.round("response_ms", 4))
 
 
 @query("p5_run_metrics", f"{METRICS} SELECT * FROM v")
