@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import pipeline as p
 from plumbline.operators.order_stats import one_row
-from plumbline.plans.c_profile import DISTINCT, NUMERIC, pattern_sql, stack
-from plumbline.plans.d_scores import SCORE_ROW
+from plumbline.operators.scores import METRICS
+from plumbline.plans.c_profile import NUMERIC, infer_sql, pattern_sql, stack
+from plumbline.plans.d_scores import SHAPE, VALID, accuracy_sql, consistency_sql
 from plumbline.plans.registry import duck, query
 from plumbline.plans.shapes import PEOPLE, PEOPLE_COLUMNS, PEOPLE_TEXT, people, with_
 from plumbline.functions.patterns import FORMAT_PATTERNS
@@ -61,9 +62,31 @@ def p3(t):
     return p.analyze(people(t), "id", ["duplicates"])["duplicates"]
 
 
-@query("p4_full_report")
+REST = [c for c in PEOPLE_COLUMNS if c != "id"]
+NUMS = ["nation", "balance", "tier"]
+GAPS = " + ".join(f"count(*) - count({c})" for c in REST)
+OUTSIDE = """SELECT count(*) FILTER (WHERE $c < a - 1.5 * (b - a) OR $c > b + 1.5 * (b - a)) AS o FROM p, (SELECT quantile_cont($c, 0.25) AS a, quantile_cont($c, 0.75) AS b FROM p) q"""
+SCORES = f"""SELECT c.completeness, v.validity, u.uniqueness, s.consistency, a.accuracy,
+  c.completeness * 0.25 + v.validity * 0.25 + u.uniqueness * 0.2 + s.consistency * 0.15 + a.accuracy * 0.15 AS overall FROM
+  (SELECT 100 - ({GAPS}) * 100.0::DOUBLE / (count(*) * {len(REST)}) AS completeness FROM p) c, ({VALID} AND "column" <> 'id') v,
+  (SELECT (SELECT count(*) FROM (SELECT DISTINCT {', '.join(REST)} FROM p) d) * 100.0::DOUBLE / count(*) AS uniqueness FROM p) u, ({consistency_sql(SHAPE)}) s, ({accuracy_sql(NUMS)}) a"""
+REPORT = f"""{infer_sql()}, n AS ({NUMERIC}), r AS ({SCORES})
+  {stack(REST, """SELECT 'profile' AS section, '$c' AS subject, 'null_count' AS metric, CAST(count(*) - count($c) AS DOUBLE) AS value FROM p
+    UNION ALL SELECT 'profile', '$c', 'null_pct', round((count(*) - count($c)) * 100.0::DOUBLE / count(*), 2) FROM p
+    UNION ALL SELECT 'profile', '$c', 'distinct_count', CAST(count(DISTINCT $c) AS DOUBLE) FROM p
+    UNION ALL SELECT 'profile', '$c', 'distinct_pct', round(count(DISTINCT $c) * 100.0::DOUBLE / count(*), 2) FROM p""")}
+  UNION ALL SELECT 'profile', "column", metric, value FROM n WHERE "column" <> 'id'
+  UNION ALL {stack(METRICS, "SELECT 'scores', '*', '$c', round(CAST($c AS DOUBLE), 2) FROM r")}
+  UNION ALL SELECT 'duplicates', '*', 'duplicates', CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT {', '.join(REST)} FROM p) d) AS DOUBLE) FROM p
+  UNION ALL SELECT 'summary', '*', 'rows', CAST(count(*) AS DOUBLE) FROM p
+  UNION ALL {stack(NUMS, f"SELECT 'outliers', '$c', 'outliers', CAST(o AS DOUBLE) FROM ({OUTSIDE}) o_$c")}
+  UNION ALL SELECT 'missing', '*', 'missing', CAST({GAPS} AS DOUBLE) FROM p
+  UNION ALL SELECT 'patterns', "column", pattern, CAST(matches AS DOUBLE) FROM ({pattern_sql(PEOPLE_TEXT, FORMAT_PATTERNS)}) m"""
+
+
+@query("p4_full_report", REPORT)
 def p4(t):
-    return p.report(cut_lineage(people(t)), "id")
+    return p.report(cut_lineage(people(t)), "id").withColumn("value", F.round("value", 4))
 
 
 # runs: one per event; the clock is the last event

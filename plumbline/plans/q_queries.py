@@ -5,6 +5,7 @@ from pyspark.sql.window import Window as W
 
 from plumbline.operators import order_stats as o
 from plumbline.operators.similarity import full_text_search
+from plumbline.plans.o_gates import COMPARED, per_query
 from plumbline.plans.registry import duck, query
 from plumbline.plans.shapes import CREDIT, PAYROLL, credit, payroll, with_
 
@@ -432,9 +433,13 @@ both(
 )
 
 
-@query("q36_gate_suite_rates", None)
+@query(
+    "q36_gate_suite_rates",
+    f"""{COMPARED} SELECT dataset, condition, count(*) AS queries, count(*) FILTER (WHERE is_error) AS wrong,
+    count(*) FILTER (WHERE verdict = 'row_count_diff') AS row_count_diffs FROM pq GROUP BY 1, 2""",
+)
 def q36(t):
-    from plumbline.operators.gates import error_rates
-    from plumbline.plans.o_gates import per_query
-
-    return error_rates(per_query(t))
+    return per_query(t).groupBy("dataset", "condition").agg(
+        F.count(F.lit(1)).alias("queries"), F.count_if("is_error").alias("wrong"),
+        F.count_if(F.col("verdict") == "row_count_diff").alias("row_count_diffs"),
+    )
