@@ -157,14 +157,26 @@ def word_hashes(texts: Sequence[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), ends)
 
 
+def slices(texts: Sequence[bytes | None], size: int = 2 * SEGMENT):
+    """Consecutive ranges of the texts of about ``size`` bytes, at least one text each: bounds the memory of a task."""
+    lo = total = 0
+    for k, t in enumerate(texts):
+        total += len(t or b"")
+        if total >= size:
+            yield lo, k + 1
+            lo, total = k + 1, 0
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
 def rolled_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    """Hash of the ``width`` words from each place on; the last places run into the next text."""
+    """63-bit hash of the ``width`` words from each place on; the last places run into the next text."""
     rolled = np.zeros_like(words)
     with np.errstate(over="ignore"):
         for k in range(width):
             rolled *= _MULTIPLIER
             rolled[: max(0, len(words) - k)] += words[k:]
-    return mix64(rolled)
+    return mix64(rolled) >> np.uint64(1)
 
 
 def shingle_sets(texts: Sequence[bytes | None], width: int) -> list[np.ndarray]:
@@ -185,7 +197,7 @@ def shingle_sets(texts: Sequence[bytes | None], width: int) -> list[np.ndarray]:
             with np.errstate(over="ignore"):
                 for w in words[lo:hi]:
                     h = h * _MULTIPLIER + w
-            out.append(mix64(np.array([h], np.uint64)))
+            out.append(mix64(np.array([h], np.uint64)) >> np.uint64(1))
         else:
             out.append(np.zeros(0, np.uint64))
         lo = hi

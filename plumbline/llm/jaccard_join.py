@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import global_positions, hidden, mix64, need, quoted, rolled_hashes, shingle_sets, signed, sized_broadcast, word_hashes
+from plumbline.llm.common import global_positions, hidden, mix64, need, quoted, rolled_hashes, shingle_sets, signed, sized_broadcast, slices, word_hashes
 from plumbline.operators.components import components
 from plumbline.session import cut_lineage
 
@@ -34,8 +34,12 @@ SKETCH_BITS, SKETCH_CHUNK, DEVIATIONS = 20, 1 << 16, 10.0
 #: Nodes in a block of the block comparison.
 BLOCK = 512
 
-def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
-    return batch.column("text").cast(pa.large_binary()).to_pylist()
+def _set_batches(batches, width: int):
+    """(ids, sets) of bounded parts of the record batches."""
+    for batch in batches:
+        texts = batch.column("text").cast(pa.large_binary()).to_pylist()
+        for lo, hi in slices(texts):
+            yield batch.column("id").slice(lo, hi - lo), shingle_sets(texts[lo:hi], width)
 
 
 def _sketch(docs: DataFrame, width: int) -> np.ndarray:
@@ -44,8 +48,10 @@ def _sketch(docs: DataFrame, width: int) -> np.ndarray:
     def count(batches):
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            tokens = rolled_hashes(word_hashes(_texts(batch))[0], width)
-            total += np.bincount((tokens & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=1 << SKETCH_BITS)
+            texts = batch.column("text").cast(pa.large_binary()).to_pylist()
+            for lo, hi in slices(texts):
+                tokens = rolled_hashes(word_hashes(texts[lo:hi])[0], width)
+                total += np.bincount((tokens & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=1 << SKETCH_BITS)
         for k in range(0, 1 << SKETCH_BITS, SKETCH_CHUNK):
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([k], pa.int32()), "counts": [total[k : k + SKETCH_CHUNK].tobytes()]})
 
@@ -111,8 +117,7 @@ def _heads(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -> D
 
     def map_rows(batches):
         marks = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
-        for batch in batches:
-            sets = shingle_sets(_texts(batch), width)
+        for ids, sets in _set_batches(batches, width):
             nodes, singles, pairs = [], [], []
             for s in sets:
                 one, two = prefix_keys(s, marks, percent)
@@ -121,7 +126,7 @@ def _heads(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -> D
                 pairs.append(signed(two))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()),
+                    ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()),
                     pa.array(singles, pa.list_(pa.int64())), pa.array(pairs, pa.list_(pa.int64())),
                 ],
                 names=["id", "n", "node", "singles", "pairs"],
@@ -141,45 +146,70 @@ def _names(docs: DataFrame, width: int) -> DataFrame:
     """Per row: its id, set size and node (null without shingles)."""
 
     def map_rows(batches):
-        for batch in batches:
-            sets = shingle_sets(_texts(batch), width)
+        for ids, sets in _set_batches(batches, width):
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64())],
+                [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64())],
                 names=["id", "n", "node"],
             )
 
     return docs.mapInArrow(map_rows, "id bigint, n bigint, node bigint")
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
+def _tokens(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(node, tokens): whole sets of the wanted nodes, made again from the text of one row each."""
+
     def map_rows(batches):
-        for batch in batches:
-            sets = shingle_sets(_texts(batch), width)
+        for ids, sets in _set_batches(batches, width):
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([signed(s) for s in sets], pa.list_(pa.int64()))],
+                [ids, pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([signed(s) for s in sets], pa.list_(pa.int64()))],
                 names=["id", "node", "tokens"],
             )
 
-    return docs.mapInArrow(map_rows, "id bigint, node bigint, tokens array<bigint>")
+    found = docs.mapInArrow(map_rows, "id bigint, node bigint, tokens array<bigint>")
+    rows = cut_lineage(wanted.select(F.col("node").alias("node_")).distinct().join(nodes.select(F.col("node").alias("node_"), F.col("id").alias("first_id")), "node_"))
+    same = (F.col("node") == F.col("node_")) & F.col("id").eqNullSafe(F.col("first_id"))
+    return cut_lineage(found.join(sized_broadcast(rows), same).select("node", "tokens"))
 
 
-def _close(a: Column, b: Column, percent: int) -> Column:
-    """Sizes that allow the similarity."""
-    return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
+def _sides(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs with n, part and reach (the largest token) of both nodes; reach is made below the joins, once a node."""
+    parts = parts.withColumn("reach", F.coalesce(F.array_max("part"), F.lit(-1)))
+    left = parts.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("part").alias("pu"), F.col("reach").alias("ru"))
+    right = parts.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("part").alias("pv"), F.col("reach").alias("rv"))
+    return pairs.join(left, "u").join(right, "v")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) with their verdict, by whole sets."""
-    left = sets.select(F.col("node").alias("u"), F.col("tokens").alias("tu"))
-    right = sets.select(F.col("node").alias("v"), F.col("tokens").alias("tv"))
-    both = F.size(F.array_intersect("tu", "tv")).cast("bigint")
-    union = F.size("tu").cast("bigint") + F.size("tv").cast("bigint") - F.col("both")
-    joined = pairs.join(left, "u").join(right, "v").select("u", "v", both.alias("both"), "tu", "tv")
-    return joined.select("u", "v", (F.lit(100) * F.col("both") >= F.lit(percent) * union).alias("linked"))
+def _enough(shared: Column, percent: int) -> Column:
+    return F.lit(100) * shared >= F.lit(percent) * (F.col("nu") + F.col("nv") - shared)
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs that sizes and prefixes don't rule out.
+
+    Up to the smaller of the last rare prefix tokens, both prefixes hold all rare tokens: two sets share at most what they
+    share there and the smaller rest.
+    """
+    fits = F.lit(100) * F.least("nu", "nv") >= F.lit(percent) * F.greatest("nu", "nv")
+    met = _sides(pairs, nodes.select("node", "n", F.col("singles").alias("part"))).filter(fits)
+    known = [F.size(F.filter(p, lambda x: (x <= F.col("ru")) & (x <= F.col("rv")))) for p in ("pu", "pv")]
+    shared = F.size(F.array_intersect("pu", "pv")).cast("bigint")
+    bound = shared + F.least(F.col("nu") - known[0], F.col("nv") - known[1])
+    return cut_lineage(met.filter(_enough(bound, percent)).select("u", "v"))
 
 
-def _entries(singles: DataFrame, doubles: DataFrame) -> DataFrame:
-    return singles.select("key", F.explode("members").alias("m")).select("key", "m.n", "m.node").unionByName(doubles.select("key", "n", "node"))
+def _linked(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose whole sets are similar enough."""
+    met = _sides(likely, sets.select("node", F.size("tokens").cast("bigint").alias("n"), F.col("tokens").alias("part")))
+    shared = F.size(F.array_intersect("pu", "pv")).cast("bigint")
+    return cut_lineage(met.filter(_enough(shared, percent)).select("u", "v").distinct())
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("u", "v")).alias("node"))
+
+
+def _entries(singles: DataFrame) -> DataFrame:
+    return singles.select("key", F.explode("members").alias("node"))
 
 
 def _open_lists(entries: DataFrame, labels: DataFrame) -> DataFrame:
@@ -189,14 +219,8 @@ def _open_lists(entries: DataFrame, labels: DataFrame) -> DataFrame:
     return seen.join(several, "key")
 
 
-def _pairs(joined: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of different components and possible sizes, from (a, b) structs of n, node, component."""
-    apart = (F.col("a.component") != F.col("b.component")) & _close(F.col("a.n"), F.col("b.n"), percent)
-    return joined.filter(apart).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
-
-
-def _member() -> Column:
-    return F.struct("n", "node", "component")
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
 
 def _block_links(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -204,9 +228,11 @@ def _block_links(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     seeds = entries.groupBy("key").agg(F.min("node").alias("seed"))
     edges = entries.join(seeds, "key").filter("node <> seed").select("node", "seed").distinct()
     clusters = components(edges, "node", "seed").select("node", F.col("component").alias("cluster"))
-    members = entries.select("node", "n", "component").distinct().join(clusters, "node")
+    sets = sets.dropDuplicates(["node"])
+    sizes = sets.select("node", F.size("tokens").cast("bigint").alias("n"))
+    members = entries.select("node", "component").distinct().join(clusters, "node").join(sizes, "node")
     placed = global_positions(members, ["cluster", "n", "node"]).withColumn("block", F.floor(F.col("position") / BLOCK))
-    placed = cut_lineage(placed.join(sets, "node"))
+    placed = cut_lineage(placed.join(sets.select("node", "tokens"), "node"))
     blocks = cut_lineage(placed.groupBy("cluster", "block").agg(F.min("n").alias("least"), F.max("n").alias("most")))
     later = blocks.select("cluster", F.col("block").alias("other"), F.col("least").alias("other_least"))
     tasks = cut_lineage(
@@ -288,34 +314,30 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         heads.filter("n > 0").groupBy("node", "n").agg(F.min("id").alias("id"), F.first("singles").alias("singles"), F.first("pairs").alias("pairs"))
     )
     singles = cut_lineage(
-        nodes.select("node", "n", F.explode("singles").alias("key")).groupBy("key")
-        .agg(F.collect_list(F.struct("n", "node")).alias("members")).filter(F.size("members") > 1)
+        nodes.select("node", F.explode("singles").alias("key")).groupBy("key").agg(F.collect_list("node").alias("members")).filter(F.size("members") > 1)
     )
-    doubles = nodes.select("node", "n", F.explode("pairs").alias("key"))
+    doubles = nodes.select("node", F.explode("pairs").alias("key"))
     shared = doubles.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
     doubles = cut_lineage(doubles.join(shared, "key"))
-    entries = _entries(singles, doubles)
-
-    # whole sets of every node that an index list of several nodes holds
-    involved = cut_lineage(entries.select("node").distinct().join(nodes.select("node", F.col("id").alias("first_id")), "node"))
-    found = _sets(rows, width).join(sized_broadcast(involved.withColumnRenamed("node", "node_")), (F.col("node") == F.col("node_")) & F.col("id").eqNullSafe(F.col("first_id")))
-    sets = cut_lineage(found.select("node", "tokens").dropDuplicates(["node"]))
 
     # every list against its smallest node
-    own = involved.select("node", F.col("node").alias("component"))
-    still = _open_lists(entries, own)
-    pivots = still.groupBy("key").agg(F.min(_member()).alias("a"))
-    star = cut_lineage(_pairs(still.select("key", _member().alias("b")).join(pivots, "key"), percent))
-    tried = cut_lineage(_linked(star, sets, percent))
-    links = tried.filter("linked").select("u", "v")
+    first = doubles.groupBy("key").agg(F.min("node").alias("pivot"))
+    star_double = doubles.join(first, "key").filter("node <> pivot").select(*_ordered("node", "pivot"))
+    star_single = singles.select(F.array_min("members").alias("pivot"), F.explode("members").alias("node")).filter("node <> pivot").select(*_ordered("node", "pivot"))
+    star = cut_lineage(star_single.unionByName(star_double).distinct())
+    likely = _likely(star, nodes, percent)
+    links = _linked(likely, _tokens(rows, nodes, _ends(likely), width), percent)
     labels = components(links, "u", "v").select("node", "component")
 
     # what is left is compared across components
-    rest = cut_lineage(_open_lists(_entries(singles, doubles.limit(0)), labels))
-    x, y = rest.select("key", _member().alias("a")), rest.select("key", _member().alias("b"))
-    cross = _pairs(x.join(y, "key").filter("a.node < b.node"), percent).join(tried.select("u", "v"), ["u", "v"], "left_anti")
-    links = links.unionByName(cut_lineage(_linked(cut_lineage(cross), sets, percent).filter("linked").select("u", "v")))
-    links = links.unionByName(_block_links(cut_lineage(_open_lists(doubles, labels)), sets, percent))
+    rest = cut_lineage(_open_lists(_entries(singles), labels))
+    x = rest.select("key", F.col("node").alias("u"), F.col("component").alias("cu"))
+    y = rest.select("key", F.col("node").alias("v"), F.col("component").alias("cv"))
+    cross = x.join(y, "key").filter("u < v AND cu <> cv").select("u", "v").distinct().join(star, ["u", "v"], "left_anti")
+    likely = _likely(cut_lineage(cross), nodes, percent)
+    still = cut_lineage(_open_lists(doubles, labels))
+    sets = _tokens(rows, nodes, _ends(likely).unionByName(still.select("node")), width)
+    links = links.unionByName(_linked(likely, sets, percent)).unionByName(_block_links(still, sets, percent))
     labels = components(links, "u", "v").select("node", "component")
 
     degree = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
