@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import jaccard_join, mixing, slots, weak_quality
+from plumbline.llm import jaccard_join, mixing, private_spans, secrets, slots, weak_quality
 from plumbline.llm.common import whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,15 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = weak_quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     measured = [f"quality_measures.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return judged.select("doc_id", *measured, F.col("quality_base_failed").alias("base_failed"), F.col("quality_kept").alias("kept"), F.col("quality_posterior").alias("posterior"))
+
+
+@_query("op2_ownership_secrets")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return found.select("doc_id", *secrets.digest(found, "secret_", secrets.BASE), F.size("secret_owned").cast("bigint").alias("n_owner_specific"))
+
+
+@_query("op6_boosted_private_spans")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = private_spans.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *secrets.digest(found, "private_", private_spans.BASE))
