@@ -88,6 +88,24 @@ def global_positions(df: DataFrame, order: Sequence[str], position: str = "posit
     )
 
 
+def tree_sum(parts: DataFrame, dtype: str) -> dict[int, np.ndarray]:
+    """Sum of the arrays in (chunk int, part int, data binary), per chunk.
+
+    Partitions are added in groups of 64 chunks' worth first, so that no task holds the arrays of all partitions; what reaches
+    the driver is one array a chunk, whose size the caller fixes.
+    """
+
+    def add(key, rows):
+        total = sum(np.frombuffer(x, dtype) for x in rows["data"])
+        rows = rows.iloc[:1].copy()
+        rows["data"] = [total.tobytes()]
+        return rows
+
+    shape = "chunk int, part int, data binary"
+    first = parts.groupBy("chunk", F.pmod("part", F.lit(64)).alias("group")).applyInPandas(add, shape)
+    return {r["chunk"]: np.frombuffer(r["data"], dtype) for r in first.groupBy("chunk").applyInPandas(add, shape).collect()}
+
+
 # ---- numpy word hashes ------------------------------------------------------------------------------------------------
 
 SEGMENT = 1 << 20

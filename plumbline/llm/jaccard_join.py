@@ -22,10 +22,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import global_positions, hidden, mix64, need, quoted, rolled_hashes, shingle_sets, signed, sized_broadcast, slices, word_hashes
+from plumbline.llm.common import global_positions, hidden, mix64, need, quoted, rolled_hashes, shingle_sets, signed, sized_broadcast, slices, tree_sum, word_hashes
 from plumbline.operators.components import components
 from plumbline.session import cut_lineage
 
@@ -52,20 +53,13 @@ def _sketch(docs: DataFrame, width: int) -> np.ndarray:
             for lo, hi in slices(texts):
                 tokens = rolled_hashes(word_hashes(texts[lo:hi])[0], width)
                 total += np.bincount((tokens & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=1 << SKETCH_BITS)
+        part = TaskContext.get().partitionId()
         for k in range(0, 1 << SKETCH_BITS, SKETCH_CHUNK):
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array([k], pa.int32()), "counts": [total[k : k + SKETCH_CHUNK].tobytes()]})
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([k], pa.int32()), "part": pa.array([part], pa.int32()), "data": [total[k : k + SKETCH_CHUNK].tobytes()]})
 
-    def add(key, rows):
-        total = sum(np.frombuffer(x, np.int64) for x in rows["counts"])
-        rows = rows.iloc[:1].copy()
-        rows["counts"] = [total.tobytes()]
-        return rows
-
-    shape = "chunk int, counts binary"
-    chunks = docs.select("text").mapInArrow(count, shape).groupBy("chunk").applyInPandas(add, shape)
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    for row in chunks.collect():  # one row a chunk of counters: its size is fixed
-        counts[row["chunk"] : row["chunk"] + SKETCH_CHUNK] = np.frombuffer(row["counts"], np.int64)
+    for chunk, values in tree_sum(docs.select("text").mapInArrow(count, "chunk int, part int, data binary"), "int64").items():
+        counts[chunk : chunk + SKETCH_CHUNK] = values
     mean = counts.mean()
     return counts > max(16.0, mean + DEVIATIONS * np.sqrt(max(mean, 1.0)))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import jaccard_join, mixing, private_spans, secrets, slots, weak_quality
+from plumbline.llm import jaccard_join, maxent, mixing, private_spans, secrets, slots, weak_quality
 from plumbline.llm.common import whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = private_spans.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", *secrets.digest(found, "private_", private_spans.BASE))
+
+
+@_query("op10_maxent_scores")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    scored = maxent.score(docs, maxent.fit(docs))
+    return scored.select(
+        F.col("id").alias("doc_id"), (~maxent.in_training(F.col("id"))).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
