@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import jaccard_join, maxent, mixing, private_spans, secrets, slots, weak_quality
+from plumbline.llm import jaccard_join, language_fusion, maxent, mixing, page_diff, private_spans, secrets, slots, templates, weak_quality
 from plumbline.llm.common import whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,22 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         F.col("id").alias("doc_id"), (~maxent.in_training(F.col("id"))).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+@_query("op1_page_differencing")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = page_diff.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("bigint").alias("n_chars"))
+
+
+@_query("op7_template_decontamination")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = templates.contaminated(docs, _table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "n_windows", "n_matched", "coverage", "changed")
+
+
+@_query("op5_language_fusion")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language_fusion.fit(_table(spark, sf_dir, "documents").select("text", "lang"))
+    return language_fusion.identify(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), model).withColumnRenamed("id", "page_id")
