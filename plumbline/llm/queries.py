@@ -58,7 +58,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op4_weak_quality")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = weak_quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    judged = weak_quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     measured = [f"quality_measures.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return judged.select("doc_id", *measured, F.col("quality_base_failed").alias("base_failed"), F.col("quality_kept").alias("kept"), F.col("quality_posterior").alias("posterior"))
 

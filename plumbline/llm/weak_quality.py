@@ -158,25 +158,28 @@ def posterior_of(weights: list[float], rules=RULES) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
 
 
-def judge(docs: DataFrame, text_col: str = "text", rules=RULES, threshold: float = THRESHOLD, prefix: str = "quality_") -> DataFrame:
-    """All rows with ``quality_measures`` (struct), ``quality_votes``, ``quality_posterior`` and ``quality_kept``.
+def judge(docs: DataFrame, text_col: str = "text", rules=RULES, threshold: float = THRESHOLD, prefix: str = "quality_", keep_text: bool = True) -> DataFrame:
+    """All rows with ``quality_measures`` (struct), ``quality_votes``, ``quality_posterior``, ``quality_base_failed`` and ``quality_kept``.
 
     A null or empty text fails the base rule. The base rule (fewer than 50 words, or more than half of the words in repeated
     windows) rejects whatever the posterior says. Repeated rows are judged alike; an empty table gives an empty result;
-    columns of the input stay, and a prefix that clashes is an error.
+    columns of the input stay (the text only if ``keep_text``), and a prefix that clashes is an error. Texts are measured
+    once: the rows with their measures are written as a stage table, from which votes are counted and rows judged.
     """
     need(docs, text_col)
     names = {n: prefix + n for n in ("measures", "votes", "posterior", "kept", "base_failed")}
     if {n.lower() for n in names.values()} & {c.lower() for c in docs.columns}:
         raise ValueError(f"prefix {prefix!r} clashes with a column of the table")
     votes = F.struct(*[r.vote().alias(r.name) for r in rules])
-    counted = measures(docs.select(quoted(text_col).alias("text")), "text", "measured").select("measured.*").select(*[r.vote().alias(r.name) for r in rules])
+    columns = [c for c in docs.columns if keep_text or c != text_col]
+    measured = measures(docs, text_col, names["measures"])
+    measured = cut_lineage(measured.select(*[quoted(c) for c in columns], quoted(names["measures"])))
+    counted = measured.select(F.col(f"{names['measures']}.*")).select(*[r.vote().alias(r.name) for r in rules])
     patterns = cut_lineage(counted.groupBy(*[r.name for r in rules]).agg(F.count(F.lit(1)).alias("n")))
     weights = estimate(patterns, rules)
-    measured = measures(docs, text_col, names["measures"])
     (inner,) = hidden(measured, "judge_in")
     # the rules' SQL names bare measures: judge inside a struct of its own
-    packed = measured.select(F.struct(*[quoted(c) for c in docs.columns]).alias(inner), quoted(names["measures"]).alias(names["measures"]), F.col(f"{names['measures']}.*"))
+    packed = measured.select(F.struct(*[quoted(c) for c in columns]).alias(inner), quoted(names["measures"]).alias(names["measures"]), F.col(f"{names['measures']}.*"))
     voted = packed.withColumn(names["votes"], votes).select(inner, names["measures"], names["votes"], f"{names['votes']}.*")
     posterior = posterior_of(weights, rules)
     m = F.col(names["measures"])
