@@ -16,7 +16,6 @@ from plumbline.session import cut_lineage
 
 # fixed values: the base kinds, in order, with what their value must fulfil
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ASSIGN_VALUE = r"[A-Za-z0-9+/_.=-]+$"
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"  # runs of 32 and more are the same matches as all runs with the short ones dropped
 BASE = ("assign", "access", "hex")
@@ -25,7 +24,7 @@ EXTRA = {
     "issuer": r"(?:gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|[rs]k_live_[A-Za-z0-9]{10,}|AIza[A-Za-z0-9_-]{30,}|glpat-[A-Za-z0-9_-]{16,})",
     "signed": r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
     "block": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----",
-    "opaque": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[A-Z0-9+/_=-]*[a-z])(?=[a-z0-9+/_=-]*[A-Z])[A-Za-z0-9+/_=-]{20,}",
+    "opaque": r"(?<![A-Za-z0-9+/_=-])(?!gh[pousr]_|xox[abprs]-|[rs]k_live_|AIza|glpat-|eyJ)(?=[A-Za-z+/_=-]*[0-9])(?=[A-Z0-9+/_=-]*[a-z])(?=[a-z0-9+/_=-]*[A-Z])[A-Za-z0-9+/_=-]{20,}",
 }
 MOST_OWNERS, MOST_REPOSITORIES = 2, 3
 #: Least share of distinct characters in a value that looks random.
@@ -41,7 +40,7 @@ def _base_scan(docs: DataFrame, text: str, into: str) -> DataFrame:
     for name, found in zip(steps[3:], steps[:3]):
         out = out.withColumn(name, placed(F.col(found)))
     tests = (
-        lambda v: F.length(F.regexp_extract(v, ASSIGN_VALUE, 0)) >= 8,
+        lambda v: F.length(F.regexp_extract(v, ASSIGN, 1)) >= 8,
         lambda v: F.length(v) >= 16,
         lambda v: F.length(v) >= 32,
     )
@@ -62,7 +61,7 @@ def _candidates(docs: DataFrame, text: str, into: str) -> DataFrame:
 
 def _secret_value(kind: Column, value: Column) -> Column:
     """The secret itself: of an assignment, its right side."""
-    return F.when(kind == BASE[0], F.regexp_extract(value, ASSIGN_VALUE, 0)).otherwise(value)
+    return F.when(kind == BASE[0], F.regexp_extract(value, ASSIGN, 1)).otherwise(value)
 
 
 def looks_random(value: Column) -> Column:
