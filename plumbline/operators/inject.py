@@ -274,9 +274,16 @@ def inject_nulls(df: DataFrame, key: str, column: str, pct: float, seed: int = 4
 
 
 def _appended(df: DataFrame, key: str, count: int, tag: str, seed: int) -> DataFrame:
+    """Exactly ``count`` copies with new keys: every row as often as the count allows, the rest drawn."""
     n, top = df.agg(F.count(F.lit(1)), F.max(key)).first()
-    picked = sample_n(df, count if count <= n else n // 2, key, seed, tag)
-    return picked.withColumn("_r", draw_int(draw(seed, f"{tag}-how", key))).withColumn(key, F.col(key) + (top + 1))
+    if not n:
+        return df.withColumn("_r", F.lit(0).cast("bigint"))
+    whole, rest = divmod(count, n)
+    drawn = sample_n(df, rest, key, seed, tag).withColumn("_c", F.lit(whole))
+    if whole:
+        drawn = df.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(whole - 1)))).unionByName(drawn)
+    copies = drawn.withColumn("_r", draw_int(draw(seed, f"{tag}-how", key)))
+    return copies.withColumn(key, F.col(key) + F.lit(top + 1) * (F.col("_c") + 1)).drop("_c")
 
 
 def inject_exact_duplicates(df: DataFrame, key: str, count: int, seed: int = 42) -> DataFrame:

@@ -21,8 +21,16 @@ SKETCH_ACCURACY = 100_000
 
 
 def bounded_join(big: DataFrame, side: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join that broadcasts ``side`` only when its estimated size is small; AQE handles the rest."""
-    return big.join(F.broadcast(side) if is_small(side, 4.0) else side, list(on), how)
+    """Join on equal keys, NULL equal to NULL, so that rows with a NULL key stay in their group.
+
+    ``side`` is broadcast only when its estimated size is small; AQE handles the rest.
+    """
+    names = {c: f"_on_{i}" for i, c in enumerate(on)}
+    right = side.withColumnsRenamed(names)
+    same = reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(k)) for c, k in names.items()])
+    joined = big.join(F.broadcast(right) if is_small(side, 4.0) else right, same, how)
+    rest = [c for c in [*big.columns, *side.columns] if c not in names]
+    return joined.select(*[F.col(f"`{c}`") for c in [*on, *rest]])
 
 
 def literal(value, kind: T.DataType) -> Column:

@@ -119,7 +119,9 @@ def k18(t):
     return i.inject_nulls(people(t), "id", "phone", 5).select("id", "phone")
 
 
-COPY = "SELECT id + (SELECT max(id) + 1 FROM p) AS id, name, segment FROM p ORDER BY {0} LIMIT 300"
+# 300 copies: every row as often as that allows, the rest by draw
+COPIES = "(SELECT * FROM (SELECT *, row_number() OVER (ORDER BY c, {0}) AS rn FROM p, (SELECT unnest(range(0, 301)) AS c) r WHERE c * (SELECT count(*) FROM p) < 300) WHERE rn <= 300)"
+COPY = "SELECT id + (SELECT max(id) + 1 FROM p) * (c + 1) AS id, name, segment FROM " + COPIES
 
 
 @query("k19_exact_duplicates", f"{P} SELECT id, name, segment FROM p UNION ALL SELECT * FROM ({COPY.format(md('exact'))}) c")
@@ -131,8 +133,8 @@ def fuzzy_sql():
     r = f"CAST('0x' || substr({md('fuzzy-how')}, 1, 8) AS BIGINT)"
     how = f"CAST(floor({r} / 2) AS BIGINT) % 5"
     vary = lambda c: f"CASE {how} WHEN 0 THEN lower({c}) WHEN 1 THEN upper({c}) WHEN 2 THEN replace({c}, ' ', '_') WHEN 3 THEN replace({c}, '.', '_') ELSE {c} || ' ' END"
-    return f"""{P} SELECT id, name, email FROM p UNION ALL SELECT * FROM (SELECT id + (SELECT max(id) + 1 FROM p), CASE WHEN {r} % 2 = 0 THEN {vary('name')} ELSE name END,
-      CASE WHEN {r} % 2 = 1 THEN {vary('email')} ELSE email END FROM p ORDER BY {md('fuzzy')} LIMIT 300) c"""
+    return f"""{P} SELECT id, name, email FROM p UNION ALL SELECT * FROM (SELECT id + (SELECT max(id) + 1 FROM p) * (c + 1), CASE WHEN {r} % 2 = 0 THEN {vary('name')} ELSE name END,
+      CASE WHEN {r} % 2 = 1 THEN {vary('email')} ELSE email END FROM {COPIES.format(md('fuzzy'))}) c"""
 
 
 @query("k20_fuzzy_duplicates", fuzzy_sql())
