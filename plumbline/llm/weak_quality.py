@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import SPACE_CLASS, SPACES, hidden, need, quoted, whole_text, words_of
+from plumbline.llm.common import SPACE_CLASS, hidden, need, quoted, whole_text, words_of
 from plumbline.session import cut_lineage
 
 # fixed values: characters that count as symbols
@@ -54,8 +54,8 @@ ROUNDS, SMOOTHING, THRESHOLD = 20, 4.0, 0.5
 PRIOR_GOOD, PRIOR_BAD = {-1: 0.05, 0: 0.25, 1: 0.7}, {-1: 0.4, 0: 0.3, 1: 0.3}
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
+def _without(text: Column, characters: str) -> Column:
+    return F.regexp_replace(text, f"{characters}+", "")
 
 
 def _repeat_words(words: Column, windows: Column) -> Column:
@@ -96,18 +96,18 @@ def measures(docs: DataFrame, text_col: str, into: str) -> DataFrame:
     length = F.length(text)
     out = F.struct(
         n.cast("bigint").alias("n_words"),
-        F.length(_without(text, SPACES)).cast("bigint").alias("word_chars"),
-        (length - F.length(_without(text, SYMBOLS))).cast("bigint").alias("n_symbols"),
+        F.length(F.array_join(F.col(w), "")).cast("bigint").alias("word_chars"),
+        (length - F.length(_without(text, f"[{SYMBOLS}]"))).cast("bigint").alias("n_symbols"),
         (F.size(s) - F.size(F.array_distinct(s))).cast("bigint").alias("n_dup_lines"),
         _repeat_words(F.col(w), F.col(h)).cast("bigint").alias("n_repeat_words"),
         F.size(s).cast("bigint").alias("n_lines"),
         F.regexp_count(text, F.lit(r"\p{Lu}")).cast("bigint").alias("n_upper"),
         F.regexp_count(text, F.lit(f"[{SYMBOLS}]+")).cast("bigint").alias("n_symbol_runs"),
         F.regexp_count(text, F.lit(rf"(?<!\S)[{SYMBOLS}]+(?!\S)")).cast("bigint").alias("n_lone_symbols"),
-        (length - F.length(F.regexp_replace(text, r"[^\p{L}\s]+", ""))).cast("bigint").alias("n_other"),
-        (length - F.length(_without(text, "0123456789"))).cast("bigint").alias("n_digits"),
-        (length - F.length(_without(text, ".!?"))).cast("bigint").alias("n_stops"),
-        (length - F.length(_without(text, "!"))).cast("bigint").alias("n_exclaims"),
+        (length - F.length(_without(text, r"[^\p{L}\s]"))).cast("bigint").alias("n_other"),
+        (length - F.length(_without(text, "[0-9]"))).cast("bigint").alias("n_digits"),
+        (length - F.length(_without(text, "[.!?]"))).cast("bigint").alias("n_stops"),
+        (length - F.length(F.replace(text, F.lit("!"), F.lit("")))).cast("bigint").alias("n_exclaims"),
         F.size(F.array_distinct(w)).cast("bigint").alias("n_distinct"),
     )
     return rows.withColumn(into, out).drop(t, w, h, s)
