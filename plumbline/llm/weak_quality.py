@@ -20,6 +20,8 @@ from plumbline.session import cut_lineage
 
 # fixed values: characters that count as symbols
 SYMBOLS = "#*$%&|<>"
+#: Bits of a window's place; no string holds so many words.
+PLACE_BITS = 30
 
 
 @dataclass(frozen=True)
@@ -58,15 +60,35 @@ def _without(text: Column, characters: str) -> Column:
     return F.regexp_replace(text, f"{characters}+", "")
 
 
-def _repeat_words(words: Column, windows: Column) -> Column:
-    """Words inside 3-word windows found twice or more: sort the windows with their places, keep those with an equal neighbour."""
-    sorted_ = F.sort_array(windows)
-    return F.when(
-        F.size(F.array_distinct(F.transform(windows, lambda w: w["h"]))) < F.size(windows),
-        F.size(F.array_distinct(F.flatten(F.transform(
-            _with_twin(sorted_), lambda w: F.array(w["i"], w["i"] + 1, w["i"] + 2),
-        )))),
-    ).otherwise(0)
+def _window_hash(words: Column, at: Column) -> Column:
+    return F.xxhash64(F.get(words, at), F.get(words, at + 1), F.get(words, at + 2))
+
+
+def _sorted_windows(words: Column) -> Column:
+    """The 3-word windows as one sorted array of longs: the low bits of the window's hash above, its place below."""
+    starts = F.slice(words, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0)))
+    return F.sort_array(F.transform(starts, lambda _, i: F.shiftleft(_window_hash(words, i), PLACE_BITS).bitwiseOR(i.cast("bigint"))))
+
+
+def _maybe_twins(windows: Column) -> Column:
+    """Windows whose short hash a neighbour has as well: all repeated ones and very few others."""
+
+    def short(x: Column) -> Column:
+        return F.shiftright(x, PLACE_BITS)
+
+    return F.filter(windows, lambda x, i: (short(x) == short(F.get(windows, i - 1))) | (short(x) == short(F.get(windows, i + 1))))
+
+
+def _repeat_words(words: Column, candidates: Column) -> Column:
+    """Words inside 3-word windows found twice or more: sort the candidates by whole hash, keep those with an equal neighbour."""
+
+    def whole(x: Column) -> Column:
+        place = x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+        return F.struct(_window_hash(words, place).alias("h"), place.alias("i"))
+
+    twins = _with_twin(F.sort_array(F.transform(candidates, whole)))
+    covered = F.size(F.array_distinct(F.flatten(F.transform(twins, lambda w: F.array(w["i"], w["i"] + 1, w["i"] + 2)))))
+    return F.when(F.size(candidates) > 0, covered).otherwise(0)
 
 
 def _with_twin(sorted_: Column) -> Column:
@@ -82,15 +104,12 @@ def measures(docs: DataFrame, text_col: str, into: str) -> DataFrame:
 
     Windows are compared by a 64-bit hash of their three words.
     """
-    t, w, h, s = hidden(docs, "m_text", "m_words", "m_windows", "m_lines")
+    t, w, h, c, s = hidden(docs, "m_text", "m_words", "m_windows", "m_twins", "m_lines")
     rows = docs.withColumn(t, whole_text(text_col))
     rows = rows.withColumn(w, words_of(F.col(t)))
     n = F.size(w)
-    following = F.transform(
-        F.arrays_zip(F.col(w).alias("x"), F.slice(F.concat(F.col(w), F.array(F.lit(""))), F.lit(2), n).alias("y"), F.slice(F.concat(F.col(w), F.array(F.lit(""), F.lit(""))), F.lit(3), n).alias("z")),
-        lambda q, i: F.struct(F.xxhash64(q["x"], q["y"], q["z"]).alias("h"), i.alias("i")),
-    )
-    rows = rows.withColumn(h, F.slice(following, F.lit(1), F.greatest(n - 2, F.lit(0))))
+    rows = rows.withColumn(h, _sorted_windows(F.col(w)))
+    rows = rows.withColumn(c, _maybe_twins(F.col(h)))
     rows = rows.withColumn(s, F.filter(F.split(F.col(t), "\n", -1), lambda line: line.rlike(f"[^{SPACE_CLASS}]")))
     text = F.col(t)
     length = F.length(text)
@@ -99,7 +118,7 @@ def measures(docs: DataFrame, text_col: str, into: str) -> DataFrame:
         F.length(F.array_join(F.col(w), "")).cast("bigint").alias("word_chars"),
         (length - F.length(_without(text, f"[{SYMBOLS}]"))).cast("bigint").alias("n_symbols"),
         (F.size(s) - F.size(F.array_distinct(s))).cast("bigint").alias("n_dup_lines"),
-        _repeat_words(F.col(w), F.col(h)).cast("bigint").alias("n_repeat_words"),
+        _repeat_words(F.col(w), F.col(c)).cast("bigint").alias("n_repeat_words"),
         F.size(s).cast("bigint").alias("n_lines"),
         F.regexp_count(text, F.lit(r"\p{Lu}")).cast("bigint").alias("n_upper"),
         F.regexp_count(text, F.lit(f"[{SYMBOLS}]+")).cast("bigint").alias("n_symbol_runs"),
@@ -110,7 +129,7 @@ def measures(docs: DataFrame, text_col: str, into: str) -> DataFrame:
         (length - F.length(F.replace(text, F.lit("!"), F.lit("")))).cast("bigint").alias("n_exclaims"),
         F.size(F.array_distinct(w)).cast("bigint").alias("n_distinct"),
     )
-    return rows.withColumn(into, out).drop(t, w, h, s)
+    return rows.withColumn(into, out).drop(t, w, h, c, s)
 
 
 def estimate(patterns: DataFrame, rules=RULES, rounds: int = ROUNDS) -> list[float]:
