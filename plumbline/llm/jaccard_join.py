@@ -14,7 +14,7 @@ counter, so it costs the same at every scale; any classes give right results, th
 Work on groups: equal sets are one node, so a group of copies is compared once. Every index list is first compared with
 its smallest node only. Lists that then still hold several components are compared across components: short lists of
 rare tokens as pairs, nodes connected by combinations in blocks, where each task compares two blocks of bounded size and
-returns a spanning part of the links it found.
+returns a spanning part of the links it found. Links are counted last, over all pairs of each component, in blocks too.
 """
 
 from __future__ import annotations
@@ -222,10 +222,37 @@ def _block_links(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     seeds = entries.groupBy("key").agg(F.min("node").alias("seed"))
     edges = entries.join(seeds, "key").filter("node <> seed").select("node", "seed").distinct()
     clusters = components(edges, "node", "seed").select("node", F.col("component").alias("cluster"))
+
+    def compare(key, rows):
+        return pd.DataFrame(_spanning_links(rows, key[0] == key[1], percent), columns=["u", "v"]).astype("int64")
+
+    members = entries.select("node", "component").distinct().join(clusters, "node")
+    return cut_lineage(_block_tasks(members, sets, percent).applyInPandas(compare, "u bigint, v bigint"))
+
+
+def _link_counts(labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, n_links): all links of each node of the components (node, component), which hold every link by now.
+
+    Two nodes of one component have one link; larger components are compared whole, by pairs of blocks. A task returns
+    one row a node.
+    """
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    labels = cut_lineage(labels.join(sizes, "component"))
+    pairs = labels.filter("size = 2").select("node", F.lit(1).cast("bigint").alias("n_links"))
+
+    def compare(key, rows):
+        return _counted_links(rows, key[0] == key[1], percent)
+
+    members = labels.filter("size > 2").select("node", "component", F.col("component").alias("cluster"))
+    counted = _block_tasks(members, sets, percent).applyInPandas(compare, "node bigint, n_links bigint")
+    return pairs.unionByName(counted.groupBy("node").agg(F.sum("n_links").alias("n_links")))
+
+
+def _block_tasks(members: DataFrame, sets: DataFrame, percent: int):
+    """The members (node, component, cluster) with their sets, grouped by all pairs of blocks that sizes don't rule out."""
     sets = sets.dropDuplicates(["node"])
     sizes = sets.select("node", F.size("tokens").cast("bigint").alias("n"))
-    members = entries.select("node", "component").distinct().join(clusters, "node").join(sizes, "node")
-    placed = global_positions(members, ["cluster", "n", "node"]).withColumn("block", F.floor(F.col("position") / BLOCK))
+    placed = global_positions(members.join(sizes, "node"), ["cluster", "n", "node"]).withColumn("block", F.floor(F.col("position") / BLOCK))
     placed = cut_lineage(placed.join(sets.select("node", "tokens"), "node"))
     blocks = cut_lineage(placed.groupBy("cluster", "block").agg(F.min("n").alias("least"), F.max("n").alias("most")))
     later = blocks.select("cluster", F.col("block").alias("other"), F.col("least").alias("other_least"))
@@ -236,22 +263,16 @@ def _block_links(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     sides = tasks.select("block", F.col("block").alias("i"), F.col("other").alias("j")).unionByName(
         tasks.filter("block <> other").select(F.col("other").alias("block"), F.col("block").alias("i"), F.col("other").alias("j"))
     )
-
-    def compare(key, rows):
-        return pd.DataFrame(_spanning_links(rows, key[0] == key[1], percent), columns=["u", "v"]).astype("int64")
-
     copies = placed.select("block", "cluster", "component", "n", "node", "tokens").join(sides, "block")
-    found = copies.groupBy("i", "j").applyInPandas(compare, "u bigint, v bigint")
-    return cut_lineage(found)
+    return copies.groupBy("i", "j")
 
 
-def _spanning_links(rows: pd.DataFrame, same: bool, percent: int) -> list[tuple[int, int]]:
-    """Links that join components among the nodes of two blocks (or of one): counts of shared tokens by token."""
+def _close(rows: pd.DataFrame, same: bool, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the one and of the other block, and which pairs of one cluster are similar enough: counts of shared tokens by token."""
     blocks = rows["block"].to_numpy()
     left = np.flatnonzero(blocks == blocks.min())
     right = left if same else np.flatnonzero(blocks != blocks.min())
     sets = rows["tokens"].to_numpy()
-    place = {p: k for k, p in enumerate(right.tolist())}
     shared = np.zeros((len(left), len(right)), np.int32)
     flat = np.concatenate([np.asarray(s, np.int64) for s in sets])
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -262,15 +283,33 @@ def _spanning_links(rows: pd.DataFrame, same: bool, percent: int) -> list[tuple[
     row_of = np.full(len(sets), -1)
     row_of[left] = np.arange(len(left))
     col_of = np.full(len(sets), -1)
-    col_of[list(place)] = list(place.values())
+    col_of[right] = np.arange(len(right))
     for lo, hi in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
         who = owner[lo:hi]
         i, j = row_of[who], col_of[who]
         shared[np.ix_(i[i >= 0], j[j >= 0])] += 1
     sizes, cluster = rows["n"].to_numpy(), rows["cluster"].to_numpy()
-    component, node = rows["component"].to_numpy(), rows["node"].to_numpy()
     union = sizes[left][:, None] + sizes[right][None, :] - shared
     close = (100 * shared.astype(np.int64) >= percent * union) & (cluster[left][:, None] == cluster[right][None, :])
+    return left, right, close
+
+
+def _counted_links(rows: pd.DataFrame, same: bool, percent: int) -> pd.DataFrame:
+    """Links of each node among the nodes of two blocks (or of one, where every pair stands on both sides)."""
+    left, right, close = _close(rows, same, percent)
+    if same:
+        np.fill_diagonal(close, False)
+    count = np.zeros(len(rows), np.int64)
+    count[left] = close.sum(axis=1)
+    if not same:
+        count[right] = close.sum(axis=0)
+    return pd.DataFrame({"node": rows["node"], "n_links": count})[count > 0]
+
+
+def _spanning_links(rows: pd.DataFrame, same: bool, percent: int) -> list[tuple[int, int]]:
+    """Links that join components among the nodes of two blocks (or of one)."""
+    left, right, close = _close(rows, same, percent)
+    component, node = rows["component"].to_numpy(), rows["node"].to_numpy()
     close &= component[left][:, None] != component[right][None, :]
     parent = {c: c for c in set(component.tolist())}
 
@@ -290,12 +329,14 @@ def _spanning_links(rows: pd.DataFrame, same: bool, percent: int) -> list[tuple[
     return out
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
-    """One row per input row: (id, n_shingles, node, component_id, n_links).
+def jaccard_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85, count_links: bool = True,
+) -> DataFrame:
+    """One row per input row: (id, n_shingles, node, component_id, n_links); without ``count_links`` the last is left out.
 
     ``node`` names the row's set, so rows with equal sets share it; ``component_id`` is the smallest id reachable over
-    links; ``n_links`` counts the verified links of the node to other sets that were needed to join the component (a
-    spanning part of all links, which loses no component).
+    links; ``n_links`` counts all links of the node to other sets. Components are found by a spanning part of the links; then
+    all pairs within a component are compared, since no link leaves it.
     Rows without words have no shingles, node null and are linked with nothing. A null text is an empty one. A row with a
     null id is linked like others but names no component, so a component of null ids only has a null name. Repeated
     ids are separate rows. Empty tables give empty results. Extra columns are ignored.
@@ -320,7 +361,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     star_single = singles.select(F.array_min("members").alias("pivot"), F.explode("members").alias("node")).filter("node <> pivot").select(*_ordered("node", "pivot"))
     star = cut_lineage(star_single.unionByName(star_double).distinct())
     likely = _likely(star, nodes, percent)
-    links = _linked(likely, _tokens(rows, nodes, _ends(likely), width), percent)
+    star_sets = _tokens(rows, nodes, _ends(likely), width)
+    links = _linked(likely, star_sets, percent)
     labels = components(links, "u", "v").select("node", "component")
 
     # what is left is compared across components
@@ -334,15 +376,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = links.unionByName(_linked(likely, sets, percent)).unionByName(_block_links(still, sets, percent))
     labels = components(links, "u", "v").select("node", "component")
 
-    degree = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    named = nodes.select("node", "id").join(labels, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = nodes.select("node", "id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    final = cut_lineage(named.join(smallest, "component").select("node", "component_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")))
+    final = named.join(smallest, "component").select("node", "component_id")
+    if count_links:
+        final = final.join(_link_counts(labels, star_sets.unionByName(sets), percent), "node", "left")
+    final = cut_lineage(final)
     members = _names(rows, width)
     return members.join(final, "node", "left").select(
         "id", F.col("n").alias("n_shingles"), "node",
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+        *([F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")] if count_links else []),
     )
 
 
@@ -351,7 +395,7 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Rows without words, and rows with a null id, stay. Of repeated rows with the kept id, those with the kept text stay.
     """
-    found = jaccard_components(docs, id_col, text_col, width, percent)
+    found = jaccard_components(docs, id_col, text_col, width, percent, count_links=False)
     drop = found.filter("id IS NOT NULL AND component_id <> id").select("id").distinct()
     (key,) = hidden(docs, "kept_id")
     return docs.join(drop.withColumnRenamed("id", key), quoted(id_col).cast("bigint") == F.col(key), "left_anti")

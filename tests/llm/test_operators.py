@@ -80,6 +80,22 @@ def test_jaccard_frequent_tokens(spark):
     assert order(tuple(r) for r in got.select("id", "n_shingles", "component_id").collect()) == order(groups(rows, 4, 85))
 
 
+def test_jaccard_counts_all_links(spark, monkeypatch):
+    """Groups with more links than a spanning tree, over several blocks, and a chain whose ends are not linked."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    rows = []
+    for g, size in (("p", 50), ("q", 3), ("r", 2)):
+        for k in range(size):
+            copy = [f"{g}{j}" for j in range(100)]
+            copy[(13 * k) % 100] = f"x{g}{k}"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(100 + k, " ".join(f"c{j}" for j in range(2 * k, 2 * k + 60))) for k in range(12)] + [(200, rows[0][1]), (201, "alone")]
+    sets = {t: shingles(t) for _, t in rows}
+    want = [(i, sum(t != o and 100 * len(sets[t] & sets[o]) >= 85 * len(sets[t] | sets[o]) for o in sets)) for i, t in rows]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
+    assert order(tuple(r) for r in got.select("id", "n_links").collect()) == order(want)
+
+
 def test_jaccard_part_keys_are_complete():
     """Sets at the similarity threshold share a key of combinations."""
     import numpy as np
