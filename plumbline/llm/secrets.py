@@ -19,11 +19,14 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"  # runs of 32 and more are the same matches as all runs with the short ones dropped
 BASE = ("assign", "access", "hex")
+# a key block runs to its END line; where that is missing, over the lines of key characters and a shorter last one (line ends may be escaped)
+KEY_BEGIN, KEY_END = (rf"-----{edge} [A-Z ]{{0,30}}PRIVATE KEY(?: BLOCK)?-----" for edge in ("BEGIN", "END"))
+KEY_LINES = r"(?:(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{16,}+)++(?:(?:\s|\\[nr])++(?=[A-Za-z]*[0-9+/=])[A-Za-z0-9+/=]++)?)?"
 # candidate generators: prefixes that issuers give their keys, signed tokens, key blocks, and long mixed words
 EXTRA = {
     "issuer": r"(?:gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|[rs]k_live_[A-Za-z0-9]{10,}|AIza[A-Za-z0-9_-]{30,}|glpat-[A-Za-z0-9_-]{16,})",
     "signed": r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
-    "block": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----",
+    "block": KEY_BEGIN + r"(?:(?:[^-]|-(?!----))*+" + KEY_END + "|" + KEY_LINES + ")",
     "opaque": r"(?<![A-Za-z0-9+/_=-])(?!gh[pousr]_|xox[abprs]-|[rs]k_live_|AIza|glpat-|eyJ)(?=[A-Za-z+/_=-]*[0-9])(?=[A-Z0-9+/_=-]*[a-z])(?=[a-z0-9+/_=-]*[A-Z])[A-Za-z0-9+/_=-]{20,}",
 }
 MOST_OWNERS, MOST_REPOSITORIES = 2, 3
@@ -60,13 +63,14 @@ def _candidates(docs: DataFrame, text: str, into: str) -> DataFrame:
 
 
 def _secret_value(kind: Column, value: Column) -> Column:
-    """The secret itself: of an assignment, its right side."""
-    return F.when(kind == BASE[0], F.regexp_extract(value, ASSIGN, 1)).otherwise(value)
+    """The secret itself: of an assignment, its right side; of a key block, its characters without edges and line ends."""
+    body = F.regexp_replace(value, rf"{KEY_BEGIN}|{KEY_END}|\\[nr]|[^A-Za-z0-9+/=]", "")
+    return F.when(kind == BASE[0], F.regexp_extract(value, ASSIGN, 1)).when(kind == "block", body).otherwise(value)
 
 
 def looks_random(value: Column) -> Column:
     distinct = F.size(F.array_distinct(F.split(value, "")))
-    return distinct >= F.greatest(F.lit(6.0), F.length(value) * F.lit(VARIETY) * F.least(F.lit(1.0), F.lit(40.0) / F.length(value)))
+    return distinct >= F.greatest(F.lit(6.0), F.length(value) * F.lit(VARIETY) * F.least(F.lit(1.0), F.lit(40.0) / F.greatest(F.length(value), F.lit(1))))
 
 
 def scan(
@@ -76,7 +80,8 @@ def scan(
     """All rows with ``secret_base`` and ``secret_spans`` (arrays of start, rank, kind, end, value, places in code points) and
     ``secret_owned`` (array of span starts that belong to owner-specific, random-looking values).
 
-    ``repo_col`` defaults to the owner's column. Added spans that overlap a base span are left out. A null text is an empty
+    ``repo_col`` defaults to the owner's column. Added spans that overlap a base span are left out; mixed words inside a key block
+    belong to the block, and a header without key characters is no secret. A null text is an empty
     one; null owners count as one owner; repeated rows get the same spans, and a repeated row raises no owner count. Rows
     with the same id and different texts are told apart by the text's hash. Columns of the input stay, and a prefix that
     clashes is an error. Empty tables give empty results.
@@ -95,7 +100,11 @@ def scan(
     span_rows = scanned.filter((F.size(base) > 0) | (F.size(extra) > 0)).select(
         F.col(key).alias("key"), F.coalesce(owner, F.lit("")).alias("owner"), F.coalesce(repo, F.lit("")).alias("repo"),
         F.explode(F.concat(F.col(base), F.col(extra))).alias("s"), F.col(base).alias("base"),
+        F.filter(extra, lambda x: x["kind"] == "block").alias("block"),
     )
+    free = F.filter("block", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    inside = (F.col("s.kind") == "opaque") & F.exists(free, lambda x: (x["start"] <= F.col("s.start")) & (F.col("s.end") <= x["end"]))
+    span_rows = span_rows.filter((F.size("block") == 0) | ~inside)
     clash = F.exists("base", lambda b: (b["start"] < F.col("s.end")) & (F.col("s.start") < b["end"]))
     secret = _secret_value(F.col("s.kind"), F.col("s.value"))
     span_rows = cut_lineage(

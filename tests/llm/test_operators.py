@@ -1,6 +1,7 @@
 """Every operator against brute force on small tables with nulls, empty and long texts, ties and repeated rows."""
 
 import collections
+import hashlib
 import itertools
 import math
 import re
@@ -196,6 +197,25 @@ def test_secrets(spark):
     assert extra[4] == ["issuer"] and not extra[5] and not extra[6] and not extra[7]
 
 
+def test_secrets_count_owners_per_key_block(spark):
+    """Keys of four sources stay although their header is the same; a key that four sources hold goes, however it is wrapped."""
+
+    def key(name, wide=64, line_end="\n", end=True):
+        body = "".join(hashlib.sha256(f"{name}{k}".encode()).hexdigest().upper()[:32] + f"aZ{k}+/q" for k in range(12))
+        lines = [body[k : k + wide] for k in range(0, len(body), wide)]
+        return line_end.join(["-----BEGIN RSA PRIVATE KEY-----", *lines, *(["-----END RSA PRIVATE KEY-----"] if end else [])])
+
+    own = [(k, f"é my key\n{key(k, end=k != 2)}\nafter it", f"o{k}") for k in range(4)]
+    shared = [(10 + k, "as in the manual " + key("manual", 40 + 8 * k, ("\n", "\r\n  ", "\\n", "\n")[k]) + " end", f"o{k}") for k in range(4)]
+    bare = [(20, "grep -----BEGIN RSA PRIVATE KEY----- in all files", "o1"), (21, "-----BEGIN PRIVATE KEY-----\nxx\n" + key("last"), "o5")]
+    out = secrets.scan(spark.createDataFrame(own + shared + bare, "doc_id bigint, text string, source string")).collect()
+    got = {r["doc_id"]: [(s["start"], s["kind"], s["value"]) for s in r["secret_spans"]] for r in out}
+    for k, text, _ in own:
+        assert got[k] == [(9, "block", key(k, end=k != 2))] and next(r for r in out if r["doc_id"] == k)["secret_owned"] == [9]
+    assert not any(got[10 + k] for k in range(4)) and not got[20]
+    assert got[21] == [(31, "block", key("last"))]
+
+
 def test_private_spans(spark):
     rows = [(k, f"mail me at user{k}@host{k % 9}.example.org or call +1 (555) 123-{1000 + k} now, version 1.2.{k % 400}.4", None) for k in range(120)]
     rows += [(200, "pay 4465758382889437 4465758382889437 é", None), (201, None, None), (202, "300.1.1.1 and 010.0.0.255", None), (200, "pay 4465758382889437 4465758382889437 é", None)]
