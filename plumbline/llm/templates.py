@@ -2,8 +2,10 @@
 
 Numbers, names and units become typed placeholders, so a question keeps its template when its parameters change. Windows
 of template tokens of benchmark items and documents are joined by hash. A hit counts if its slots agree: along one
-alignment of document and item, equal slot values of the item must stand for equal values in the document. Documents
-that hold enough of an item's windows are reported.
+alignment of document and item, equal slot values of the item must stand for equal values in the document. Where one
+stands for several, its most frequent value there holds and only windows with another are dropped; windows with the item's own
+values always count. Documents that hold enough of an item's windows, or a long enough part of it word for word, are
+reported.
 
 The benchmark's window hashes go to all tasks when their measured size allows it, as a filter of document windows; else
 all document windows are joined. Either way the join on the hash decides.
@@ -22,6 +24,8 @@ from plumbline.llm.common import BROADCAST_BYTES, hidden, need, quoted, rolled_h
 from plumbline.session import cut_lineage, plan_bytes
 
 WIDTH, LEAST_LITERALS, COVERAGE = 8, 4, 0.5
+#: Words of an item that a document may not hold word for word, whatever their share of the item is.
+LEAST_WORDS = 50
 # fixed values: units of measure and money
 UNITS = frozenset(
     "mm cm m km in ft yd mi mg g kg lb oz ton tons ml l s sec min h hr hrs ms day days week weeks month months year years meter meters metre metres "
@@ -146,9 +150,10 @@ def _doc_windows(docs: DataFrame, widths: list[int], wanted: np.ndarray | None)
 
 def contaminated(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    coverage: float = COVERAGE, broadcast_bytes: int = BROADCAST_BYTES,
+    coverage: float = COVERAGE, least_words: int = LEAST_WORDS, broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """(id, key, item, n_windows, n_matched, coverage, changed): documents that hold items, one row a pair.
+    """(id, key, item, n_windows, n_matched, coverage, changed): documents that hold items, one row a pair: a share of ``coverage``
+    of the item's windows, or ``least_words`` of its words in windows with the item's own values.
 
     ``key`` is the hash of the row's id and text; repeated rows are one. ``changed`` says that a slot has another value than in the
     item. Null or empty texts and items match nothing; equal items are reported each. Items of fewer than 8 template tokens are
@@ -166,19 +171,44 @@ def contaminated(
         hits = cut_lineage(hits)
     met = hits.join(F.broadcast(windows) if small else windows, ["window", "width"])
     met = met.withColumn("shift", F.col("at") - F.col("place")).dropDuplicates(["key", "item", "shift", "place"])
-    slots = F.filter(F.arrays_zip("kinds", "values", "found"), lambda s: s["kinds"] != "")
-    per = met.select("id", "key", "item", "total", "shift", "place", F.transform(slots, lambda s: F.struct(s["values"].alias("v"), s["found"].alias("f"))).alias("slots"))
-    # per alignment: windows, and whether each item value stands for one document value
-    aligned = per.groupBy("id", "key", "item", "total", "shift").agg(
-        F.collect_set("place").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
+    placed = F.transform(F.arrays_zip("kinds", "values", "found"), lambda s, i: F.struct((F.col("place") + i).alias("p"), s["kinds"].alias("k"), s["values"].alias("v"), s["found"].alias("f")))
+    slots = F.transform(F.filter(placed, lambda s: s["k"] != ""), lambda s: F.struct(s["p"].alias("p"), s["v"].alias("v"), s["f"].alias("f")))
+    # per alignment: its windows, and for each item value the document value it stands for
+    aligned = met.groupBy("id", "key", "item", "total", "width", "shift").agg(F.collect_list(F.struct(F.col("place"), slots.alias("slots"))).alias("windows"))
+    aligned = aligned.withColumn("slots", F.array_distinct(F.flatten(F.transform("windows", lambda w: w["slots"]))))
+    aligned = aligned.withColumn("pairs", F.array_distinct(F.transform("slots", lambda s: F.struct(s["v"].alias("v"), s["f"].alias("f")))))
+    agreed = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["v"])))
+    counted = F.transform("pairs", lambda x: F.struct(x["v"].alias("v"), x["f"].alias("f"), F.size(F.filter("slots", lambda s: (s["v"] == x["v"]) & (s["f"] == x["f"]))).alias("n")))
+    aligned = aligned.withColumn("counted", F.when(~agreed, counted))
+
+    def beats(y, x):
+        """More places; then the item's own value, then the smaller one."""
+        tie = (y["n"] == x["n"]) & ((y["f"] == y["v"]) | ((x["f"] != x["v"]) & (y["f"] < x["f"])))
+        return (y["v"] == x["v"]) & (y["f"] != x["f"]) & ((y["n"] > x["n"]) | tie)
+
+    winners = F.filter("counted", lambda x: ~F.exists("counted", lambda y: beats(y, x)))
+    aligned = aligned.withColumn("pairs", F.coalesce(F.transform(winners, lambda x: F.struct(x["v"].alias("v"), x["f"].alias("f"))), F.col("pairs")))
+
+    def verbatim(w):
+        return F.forall(w["slots"], lambda s: s["v"] == s["f"])
+
+    good = F.filter("windows", lambda w: verbatim(w) | F.forall(w["slots"], lambda s: F.array_contains("pairs", F.struct(s["v"].alias("v"), s["f"].alias("f")))))
+    aligned = aligned.withColumn("windows", good).filter(F.size("windows") > 0)
+    whole = aligned.select(
+        "id", "key", "item", "total", "width", F.transform("windows", lambda w: w["place"]).alias("places"),
+        F.transform(F.filter("windows", verbatim), lambda w: w["place"]).alias("same"), F.exists("slots", lambda s: s["v"] != s["f"]).alias("changed"),
+    ).groupBy("id", "key", "item", "total", "width").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("bigint").alias("n_matched"), F.max("changed").alias("changed"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("same")))).alias("same"),
     )
-    agreed = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["v"])))
-    changed = F.exists("slots", lambda s: s["v"] != s["f"])
-    whole = aligned.filter(agreed).withColumn("changed", changed).groupBy("id", "key", "item", "total").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("bigint").alias("n_matched"), F.max("changed").alias("changed")
+    # words below verbatim windows, which overlap
+    words = F.aggregate(
+        "same", F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("end")),
+        lambda acc, p: F.struct((acc["n"] + F.col("width") - F.greatest(acc["end"] - p, F.lit(0).cast("bigint"))).alias("n"), (p + F.col("width")).alias("end")),
+        lambda acc: acc["n"],
     )
     share = F.col("n_matched") / F.col("total")
-    return whole.filter(share >= coverage).select("id", "key", "item", F.col("total").alias("n_windows"), "n_matched", share.alias("coverage"), "changed")
+    return whole.filter((share >= coverage) | (words >= least_words)).select("id", "key", "item", F.col("total").alias("n_windows"), "n_matched", share.alias("coverage"), "changed")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -262,6 +262,24 @@ def test_templates(spark):
     assert templates.contaminated(frame, items.limit(0)).count() == 0
 
 
+def test_templates_keep_what_agrees(spark):
+    """One of two equal values edited, and a long exact part of a longer item, are found; short exact parts are not."""
+    twice = "Tom buys 40 red apples and sells 40 of them " + " ".join(f"word{k}x" for k in range(24))
+    long = " ".join(f"item{k}y" for k in range(200))
+    part = long.split()
+    docs = [
+        (0, "before it " + twice.replace("sells 40", "sells 41")), (1, "seen: " + " ".join(part[60:150]) + " and more"), (2, " ".join(part[60:90]) + " only"),
+        (3, twice.replace("40", "55")), (4, twice.replace("buys 40", "buys 55").replace("sells 40", "sells 56")), (5, twice),
+    ]
+    items = spark.createDataFrame([(1, twice), (2, long)], "item_id bigint, text string")
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    for limit in (1 << 25, 0):
+        got = {(r["id"], r["item"]): (r["n_matched"], r["n_windows"], r["changed"]) for r in templates.contaminated(frame, items, broadcast_bytes=limit).collect()}
+        n = len(twice.split()) - 7  # windows of the item; those from place 0 to 7 hold the second number
+        assert got == {(0, 1): (n - 8, n, True), (1, 2): (83, 193, False), (3, 1): (n, n, True), (4, 1): (n - 8, n, True), (5, 1): (n, n, False)}
+    assert [r["doc_id"] for r in templates.decontaminate(frame, items).select("doc_id").collect()] == [2]
+
+
 def test_language_fusion(spark):
     words = {"en": "the house and the garden are big", "de": "das haus und der garten sind groß", "fr": "la maison et le jardin sont grands"}
     labelled = spark.createDataFrame([(w, t) for t, w in words.items()] * 5 + [(None, "en"), ("x", None)], "text string, lang string")
