@@ -280,6 +280,19 @@ def test_templates_keep_what_agrees(spark):
     assert [r["doc_id"] for r in templates.decontaminate(frame, items).select("doc_id").collect()] == [2]
 
 
+def test_language_fusion_of_many_languages(spark):
+    """More languages than one block holds: the rare ones are found by text and by declaration."""
+    names = [f"{a}{b}" for a in "abcdefg" for b in "klmnopqrst"]
+    assert len(names) > language_fusion.LANGUAGE_BLOCK
+    text = {x: " ".join(hashlib.sha256(f"{x}{k}".encode()).hexdigest()[:6].translate(str.maketrans("0123456789", "ghijklmnop")) for k in range(20)) for x in names}
+    labelled = spark.createDataFrame([(text[x], x) for k, x in enumerate(names) for _ in range(2 if k < 64 else 1)], "text string, lang string")
+    model = language_fusion.fit(labelled)
+    assert model.languages == names
+    pages = [(k, f"http://h{k}.example.{x}/p", f"<p>{text[x]}</p>") for k, x in enumerate(names)] + [(1000, None, f'<html lang="{names[-1]}"></html>')]
+    got = {r["id"]: r["lang"] for r in language_fusion.identify(spark.createDataFrame(pages, "page_id bigint, url string, html string"), model).collect()}
+    assert got == {**dict(enumerate(names)), 1000: names[-1]}
+
+
 def test_language_fusion(spark):
     words = {"en": "the house and the garden are big", "de": "das haus und der garten sind groß", "fr": "la maison et le jardin sont grands"}
     labelled = spark.createDataFrame([(w, t) for t, w in words.items()] * 5 + [(None, "en"), ("x", None)], "text string, lang string")
