@@ -27,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity of 0.8) stays."""
-    return jaccard_join.one_of_each_group(docs, width=5, percent=80)
+    return jaccard_join.one_of_each_group(docs, width=5, percent=80, keep_null_ids=False)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

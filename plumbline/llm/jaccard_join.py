@@ -390,12 +390,29 @@ def jaccard_components(
     )
 
 
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
-    """The rows of ``docs`` that name their component: one of each group of near copies, others untouched.
+def one_of_each_group(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85, keep_null_ids: bool = True,
+) -> DataFrame:
+    """One row of each group of near copies, that of the smallest id; rows without words stay.
 
-    Rows without words, and rows with a null id, stay. Of repeated rows with the kept id, those with the kept text stay.
+    Rows are told apart by id and text, so a repeated id takes no other text with it; of rows with the kept id and several
+    texts of the group, or of repeated rows, one stays. Rows with a null id all stay, or with ``keep_null_ids=False`` are
+    judged like others, after the rows with an id.
     """
-    found = jaccard_components(docs, id_col, text_col, width, percent, count_links=False)
-    drop = found.filter("id IS NOT NULL AND component_id <> id").select("id").distinct()
-    (key,) = hidden(docs, "kept_id")
-    return docs.join(drop.withColumnRenamed("id", key), quoted(id_col).cast("bigint") == F.col(key), "left_anti")
+    need(docs, id_col, text_col)
+    row_key = F.xxhash64(quoted(id_col), quoted(text_col))
+    rows = docs.select(row_key.alias("key"), quoted(text_col).alias("text"))
+    found = jaccard_components(rows, "key", "text", width, percent, count_links=False).filter("n_shingles > 0")
+    found = found.groupBy(F.col("id").alias("key"), "component_id").agg(F.count(F.lit(1)).alias("n"))
+    ids = docs.select(row_key.alias("key"), quoted(id_col).cast("bigint").alias("id")).distinct()
+    named = cut_lineage(found.join(ids, "key"))
+    best = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("key")))["key"].alias("best"))
+    judged = named.join(best, "component_id")
+    judged = cut_lineage(judged.filter("id IS NOT NULL") if keep_null_ids else judged)
+    key, gone, several = hidden(docs, "copy_key", "gone_key", "several_key")
+    drop = judged.filter("key <> best").select(F.col("key").alias(gone))
+    repeated = judged.filter("key = best AND n > 1").select(F.col("key").alias(several))
+    kept = docs.withColumn(key, row_key).join(drop, F.col(key) == F.col(gone), "left_anti")
+    same = F.col(key) == F.col(several)
+    once = kept.join(repeated, same, "left_semi").dropDuplicates([key])
+    return kept.join(repeated, same, "left_anti").unionByName(once).select(*[quoted(c) for c in docs.columns])

@@ -97,6 +97,35 @@ def test_jaccard_counts_all_links(spark, monkeypatch):
     assert order(tuple(r) for r in got.select("id", "n_links").collect()) == order(want)
 
 
+def test_pipeline_near_copies(spark, tmp_path):
+    """One row of each group by brute force, with repeated ids and rows and null ids; run() goes through all stages."""
+    import corpus_pipeline
+
+    def text(g, edit=None):
+        w = [f"{'the of and to that'.split()[k % 5] if k % 3 == 0 else g + chr(97 + k % 26) + chr(97 + k // 26) + 'en'}" for k in range(120)]
+        return " ".join(w if edit is None else w[:edit] + ["changed"] + w[edit + 1 :]) + "."
+
+    rows = [(1, text("a")), (2, text("a", 50)), (2, text("b")), (3, text("c")), (3, text("c")), (3, text("c", 60)), (None, text("d")), (None, text("d")), (None, text("a", 70)), (None, text("e")), (4, ""), (4, "")]
+    want, reps = [], []
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        s = shingles(t, 5)
+        if not s:
+            want.append((i, ""))
+        elif not any(100 * len(s & o) >= 80 * len(s | o) for o in reps):
+            reps.append(s)
+            want.append((i, t[:6]))
+    docs = spark.createDataFrame([(i, t, "s", "en") for i, t in rows], "doc_id bigint, text string, source string, lang string").repartition(3)
+    got = corpus_pipeline.near_copies(spark, docs, "").collect()
+    assert order((r["doc_id"], r["text"][:6]) for r in got) == order(want)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, text("b"))], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    passed = {(r["doc_id"], r["text"]) for r in weak_quality.judge(docs).filter("quality_kept").collect()}
+    final = [(r["doc_id"], r["text"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert set(final) <= passed - {(2, text("b"))} and all(final.count(x) <= 2 for x in final)
+    chosen = [shingles(t, 5) for _, t in set(final)]
+    assert not any(100 * len(x & y) >= 80 * len(x | y) for x, y in itertools.combinations(chosen, 2))
+
+
 def test_jaccard_part_keys_are_complete():
     """Sets at the similarity threshold share a key of combinations."""
     import numpy as np
