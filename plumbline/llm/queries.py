@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import jaccard_join, language_fusion, maxent, mixing, page_diff, private_spans, secrets, slots, templates, weak_quality
+from plumbline.llm import jaccard_join, language_fusion, maxent, mixing, page_diff, private_spans, secrets, slots, templates, wavelet, weak_quality
 from plumbline.llm.common import whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_fusion.fit(_table(spark, sf_dir, "documents").select("text", "lang"))
     return language_fusion.identify(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), model).withColumnRenamed("id", "page_id")
+
+
+@_query("op11_wavelet_shards")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return wavelet.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
