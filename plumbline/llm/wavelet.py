@@ -36,7 +36,7 @@ CHUNK = 1 << 17
 SHARD_TOKENS = 1 << 21
 PART_BYTES = 64 * 1024 * 1024
 #: Distinct units after which a Python worker forgets them all. It changes the speed, not the result.
-MEMO = 1_000_000
+MEMO = 1_500_000
 PIECE = 4 << 20
 
 # ---- the matrix -------------------------------------------------------------------------------------------------------
@@ -199,6 +199,10 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
+_MARK, _QUOTE = 3, 4
+_KIND = np.zeros(256, np.uint8)  # ASCII letters, digits, marks and the apostrophe; 0 for all else
+_KIND[33:127] = _MARK
+_KIND[_LETTER], _KIND[48:58], _KIND[39] = 1, 2, _QUOTE
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(rb" ?[^ \t\n\x0b\x0c\r]+")
 _CUT = re.compile(rb"(?<=[A-Za-z])(?= [A-Za-z])")
@@ -207,7 +211,7 @@ _CUT = re.compile(rb"(?<=[A-Za-z])(?= [A-Za-z])")
 def _unit_starts(data: np.ndarray, firsts: np.ndarray, odd: np.ndarray) -> np.ndarray:
     """Where the units of concatenated texts begin.
 
-    A unit is a run without white space and one blank before it, or white space. Byte-level tokenizers whose pattern takes blanks
+    A unit is a run of like characters and one blank before it, or white space. Byte-level tokenizers whose pattern takes blanks
     in front of words never merge over these borders, so the ids of a text are those of its units.
     """
     space = _SPACE[data]
@@ -220,6 +224,8 @@ def _unit_starts(data: np.ndarray, firsts: np.ndarray, odd: np.ndarray) -> np.nd
     before[1:] = space[:-1]
     starts = space & (after | ~before)
     starts[1:] |= ~space[1:] & before[1:] & (data[:-1] != 32)
+    kind = _KIND[data]
+    starts[1:] |= (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0) & (kind[:-1] != _QUOTE) & ((kind[:-1] != _MARK) | (kind[1:] != _QUOTE))
     if odd.any():
         letter = _LETTER[data]
         sure = np.zeros(len(data), bool)
