@@ -251,7 +251,7 @@ def hash_cuts(df: DataFrame, draw_col: str, quotas: DataFrame, by: Sequence[str]
     if is_small(df, 2.0):
         w = W.partitionBy(*by).orderBy(draw_col)
         base = df.select(*by, draw_col).withColumn("take", F.row_number().over(w).cast("bigint"))
-        hits = base.join(quotas, [*by, "take"])
+        hits = bounded_join(base, quotas, [*by, "take"])
     else:
         digits = 4
         rows = df.select(*by, draw_col).withColumn("_b", F.substring(draw_col, 1, digits))
@@ -268,7 +268,7 @@ def hash_cuts(df: DataFrame, draw_col: str, quotas: DataFrame, by: Sequence[str]
         w2 = W.partitionBy(*by, "slot").orderBy(draw_col)
         hits = inside.withColumn("_rn", F.row_number().over(w2)).filter("_rn = _need")
     found = hits.select(*by, "slot", F.col(draw_col).alias("cut"))
-    return quotas.join(found, [*by, "slot"], "left").select(
+    return bounded_join(quotas, found, [*by, "slot"], "left").select(
         *by, "slot",
         F.coalesce("cut", F.when(F.col("take") <= 0, F.lit(NONE)).otherwise(F.lit(ALL))).alias("cut"),
     )
