@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.order_stats import bounded_join
-from plumbline.session import cut_lineage
+from plumbline.session import cut_lineage, is_small
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,12 +28,39 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return linked.unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
-def components(edges: DataFrame, a: str = "key_a", b: str = "key_b") -> DataFrame:
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    """Components of a small table of links (u, v)."""
+    kind = edges.schema["u"].dataType.simpleString()
+
+    def join(table: pa.Table) -> pa.Table:
+        parent: dict = {}
+
+        def root(x):
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = parent[up]
+                x = parent[x]
+            return x
+
+        for u, v in zip(table.column("u").to_pylist(), table.column("v").to_pylist()):
+            x, y = root(u), root(v)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+        nodes = list(parent)
+        types = table.schema.field("u").type
+        return pa.table({"node": pa.array(nodes, types), "component": pa.array([root(x) for x in nodes], types)})
+
+    return edges.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(join, f"node {kind}, component {kind}")
+
+
+def components(edges: DataFrame, a: str = "key_a", b: str = "key_b", one_task: bool = False) -> DataFrame:
     """(node, component): the component is named by its smallest node. Nodes without edges are absent.
 
     Minima combine before the shuffle, so a node with very many neighbours stays cheap. Each round
-    is checkpointed, which bounds the plan and survives lost executors.
+    is checkpointed, which bounds the plan and survives lost executors. With ``one_task`` a written table of
+    links that is small is joined in one task instead; the result is the same.
     """
+    if one_task and is_small(edges, 8.0):
+        return _in_one_task(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v"))
     work = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct()
     while True:
         work = cut_lineage(_small_star(_large_star(work)))

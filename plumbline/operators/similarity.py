@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from plumbline.operators.components import components
-from plumbline.operators.order_stats import bounded_join, one_row
+from plumbline.operators.order_stats import bounded_join, one_row, ranked
 from plumbline.session import cut_lineage, spread
 
 # fixed values: English stop words
@@ -24,8 +25,7 @@ STOP_WORDS = (
     "not only own same so than too very can will just don should now cannot could ought would"
 ).split()
 TOKEN = r"[\p{L}\p{N}_]{2,}"
-DEFAULT_VOCABULARY = 1000
-CHUNK = 1500  # documents of one posting list compared in one task
+CHUNK = 2000  # posts of one list that meet under one key
 
 
 def tokens(c: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
@@ -47,10 +47,11 @@ def bags(df: DataFrame, key: str, columns: Sequence[str]) -> tuple[DataFrame, Da
     return worded.select("key", "bag"), docs
 
 
-def tfidf(docs: DataFrame, vocabulary: int = DEFAULT_VOCABULARY) -> DataFrame:
-    """(doc, bag, copies, terms, weights): unit vectors over the most frequent terms, rare terms first.
+def tfidf(docs: DataFrame, vocabulary: int | None = None) -> DataFrame:
+    """(doc, bag, copies, terms, weights, counts): unit vectors over all words, rare terms first.
 
-    Terms are numbered by ascending document frequency; documents without a term are left out.
+    Terms are numbered by ascending number of distinct documents, which ``counts`` holds for each; documents without a term are
+    left out. ``vocabulary`` keeps only that many of the most frequent words.
     """
     # written once: the vocabulary and the vectors both read it
     tf = cut_lineage(
@@ -59,116 +60,148 @@ def tfidf(docs: DataFrame, vocabulary: int = DEFAULT_VOCABULARY) -> DataFrame:
         )
     )
     n = docs.agg(F.sum("copies").alias("_n"))
-    vocab = (
-        tf.groupBy("term").agg(F.sum(F.col("tf") * F.col("copies")).alias("cf"), F.sum("copies").alias("df"))
-        .orderBy(F.desc("cf"), "term").limit(vocabulary)
+    vocab = tf.groupBy("term").agg(
+        F.sum(F.col("tf") * F.col("copies")).alias("cf"), F.sum("copies").alias("df"), F.count(F.lit(1)).alias("docs")
     )
-    # the vocabulary is bounded by its parameter
-    numbered = one_row(vocab, n).select(
-        "term", (F.row_number().over(W.orderBy("df", "term")) - 1).alias("t"),
-        (F.ln((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"),
+    if vocabulary is not None:
+        vocab = vocab.orderBy(F.desc("cf"), "term").limit(vocabulary)
+    numbered = one_row(ranked(cut_lineage(vocab), ["docs", "term"], name="t"), n).select(
+        "term", "t", "docs", (F.ln((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf")
     )
     weighed = bounded_join(tf, numbered, ["term"]).withColumn("w", F.col("tf") * F.col("idf"))
     vec = weighed.groupBy("doc").agg(
-        F.sort_array(F.collect_list(F.struct("t", "w"))).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
+        F.sort_array(F.collect_list(F.struct("t", "w", "docs"))).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
     )
     return docs.select("doc", "bag", "copies").join(vec, "doc").select(
-        "doc", "bag", "copies", F.col("v.t").alias("terms"), F.transform("v.w", lambda x: x / F.col("norm")).alias("weights")
+        "doc", "bag", "copies", F.col("v.t").alias("terms"), F.transform("v.w", lambda x: x / F.col("norm")).alias("weights"), F.col("v.docs").alias("counts")
     )
 
 
-def _prefix_size(t2: float) -> Column:
-    """Terms to index: shortest rare-first prefix whose rest has squared norm below t2.
+def postings(vectors: DataFrame, threshold: float) -> DataFrame:
+    """(doc, term, w, s, top, total): the terms to index of every document.
 
-    Two unit vectors with similarity >= t that share no prefix term would have all common terms in
-    the rest, whose dot product is below t: such pairs cannot exist, so the filter is exact.
+    They are the shortest rare-first prefix whose rest has a norm below the threshold: two unit vectors that share no prefix term
+    have all common terms in such a rest, so their similarity is below it. A word of one document alone meets nobody and is left out.
+    ``w`` is the term's weight, ``s`` the norm of what follows it, ``top`` and ``total`` the largest weight and the sum of weights.
     """
-    acc = F.aggregate(
-        "weights",
-        F.struct(F.lit(1.0).alias("rest"), F.lit(0).alias("n")),
-        lambda a, w: F.struct(
-            (a["rest"] - w * w).alias("rest"), F.when(a["rest"] >= t2 - 1e-9, a["n"] + 1).otherwise(a["n"]).alias("n")
-        ),
-    )
-    return F.greatest(acc["n"], F.lit(1))
+    least = threshold * threshold - 1e-9
+    kind = {f.name: f.dataType for f in vectors.schema}["doc"].simpleString()
+
+    def index(batches):
+        for batch in batches:
+            doc, terms, weights, counts = (batch.column(k) for k in range(4))
+            lengths = terms.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            if not len(lengths) or not lengths.sum():
+                continue
+            w, row = weights.flatten().to_numpy(), np.repeat(np.arange(len(lengths)), lengths)
+            starts = np.cumsum(lengths) - lengths
+            upto = np.cumsum(w * w)
+            before = np.concatenate([[0.0], upto])[np.minimum(starts, len(w))]
+            rest = 1 - (upto - before[row])
+            filled = np.flatnonzero(lengths)
+            top, total = np.zeros(len(lengths)), np.zeros(len(lengths))
+            top[filled], total[filled] = np.maximum.reduceat(w, starts[filled]), np.add.reduceat(w, starts[filled])
+            use = np.flatnonzero((rest + w * w >= least) & (counts.flatten().to_numpy() > 1))
+            at = row[use]
+            yield pa.RecordBatch.from_arrays(
+                [doc.take(pa.array(at)), terms.flatten().take(pa.array(use)), pa.array(w[use]), pa.array(np.sqrt(np.maximum(rest[use], 0))), pa.array(top[at]), pa.array(total[at])],
+                ["doc", "term", "w", "s", "top", "total"],
+            )
+
+    narrow = vectors.select("doc", "terms", "weights", "counts")
+    return narrow.mapInArrow(index, f"doc {kind}, term bigint, w double, s double, top double, total double")
+
+
+def _may_reach(threshold: float) -> Column:
+    """Upper bounds of the similarity of posts a and b: of a pair whose first common prefix term this is, and by sizes."""
+    reach = F.lit(threshold - 1e-9)
+    first = F.col("a.w") * F.col("b.w") + F.col("a.s") * F.col("b.s") >= reach
+    return first & (F.col("a.top") * F.col("b.total") >= reach) & (F.col("b.top") * F.col("a.total") >= reach)
+
+
+def _met(posts: DataFrame, threshold: float, apart: str | None = None) -> DataFrame:
+    """Candidate pairs (doc_a, doc_b) of posts of one term; with ``apart`` only those that differ in that column.
+
+    Lists above ``spark.plumbline.postingChunk`` posts are cut into chunks, and every pair of chunks is a key of its own.
+    """
+    width = int(posts.sparkSession.conf.get("spark.plumbline.postingChunk", str(CHUNK)))
+    sizes = posts.groupBy("term").agg(F.ceil(F.count(F.lit(1)) / width).cast("int").alias("chunks"), F.count(F.lit(1)).alias("n"))
+    cut = bounded_join(posts, sizes.filter("n > 1").drop("n"), ["term"]).withColumn("c", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
+    # chunk c meets chunks >= c as the left side and chunks <= c as the right side
+    left = cut.withColumn("i", F.col("c")).withColumn("j", F.explode(F.sequence("c", F.col("chunks") - 1)))
+    right = cut.withColumn("j", F.col("c")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("c"))))
+    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("term", "i", "j")]
+    once = (F.col("a.i") < F.col("a.j")) | (F.col("a.doc") < F.col("b.doc"))
+    on = reduce(lambda x, y: x & y, same) & once & _may_reach(threshold)
+    if apart:
+        on = on & (F.col(f"a.{apart}") != F.col(f"b.{apart}"))
+    pairs = left.alias("a").join(right.alias("b"), on)
+    return pairs.select(F.least("a.doc", "b.doc").alias("doc_a"), F.greatest("a.doc", "b.doc").alias("doc_b")).distinct()
+
+
+def _verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """(doc_a, doc_b, sim) of the pairs above the threshold, from their whole vectors."""
+    kind = {f.name: f.dataType for f in vectors.schema}["doc"].simpleString()
+    narrow = vectors.select("doc", "terms", "weights")
+
+    def dots(batches):
+        for batch in batches:
+            sides = []
+            for k in (2, 4):
+                terms, weights = batch.column(k), batch.column(k + 1)
+                pair = np.repeat(np.arange(batch.num_rows), terms.value_lengths().to_numpy(zero_copy_only=False))
+                sides.append((pair, terms.flatten().to_numpy(), weights.flatten().to_numpy()))
+            used = np.unique(np.concatenate([sides[0][1], sides[1][1]]))
+            keys = [pair * len(used) + np.searchsorted(used, terms) for pair, terms, _ in sides]
+            _, x, y = np.intersect1d(*keys, assume_unique=True, return_indices=True)
+            sim = np.bincount(sides[0][0][x], weights=sides[0][2][x] * sides[1][2][y], minlength=batch.num_rows)
+            over = pa.array(np.flatnonzero(sim > threshold))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(over), batch.column(1).take(over), pa.array(sim).take(over)], ["doc_a", "doc_b", "sim"])
+
+    both = bounded_join(bounded_join(pairs, narrow.toDF("doc_a", "ta", "wa"), ["doc_a"]), narrow.toDF("doc_b", "tb", "wb"), ["doc_b"])
+    return both.select("doc_a", "doc_b", "ta", "wa", "tb", "wb").mapInArrow(dots, f"doc_a {kind}, doc_b {kind}, sim double")
+
+
+def similar_docs(vectors: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(doc_a, doc_b, sim) of all documents with cosine similarity above ``threshold``; exact.
+
+    Light posts of the prefix terms give candidates, bounds rule most of them out inside the join, and only distinct pairs that are
+    left meet their vectors.
+    """
+    return _verified(_met(cut_lineage(postings(vectors, threshold)), threshold), vectors, threshold)
 
 
-def similar_docs(vectors: DataFrame, threshold: float = 0.85, forest: bool = False) -> DataFrame:
-    """(doc_a, doc_b, sim) for documents with cosine similarity above ``threshold``; exact.
+def linked_docs(vectors: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(doc, component) of the documents that have a link; the same components as all pairs of ``similar_docs`` give.
 
-    Documents meet in the posting lists of their rare prefix terms. Long lists are cut into chunks
-    and every pair of chunks is one task; a pair is reported only at its first common prefix term.
-    With ``forest`` each task reports a spanning forest of its pairs instead of all of them, enough
-    for connected components and linear in the documents of the task.
+    A large group of near copies would have all its pairs among the candidates. So each list first compares its documents with
+    one of them, then each component in it with one; what is left in one list but in different components is compared in full.
     """
-    width = int(vectors.sparkSession.conf.get("spark.plumbline.postingChunk", str(CHUNK)))
-    posts = vectors.withColumn("p", _prefix_size(threshold * threshold)).select(
-        "doc", "terms", "weights", "p", F.explode(F.slice("terms", F.lit(1), F.col("p"))).alias("term")
-    )
-    sizes = vectors.withColumn("p", _prefix_size(threshold * threshold)).select(
-        F.explode(F.slice("terms", F.lit(1), F.col("p"))).alias("term")
-    ).groupBy("term").agg(F.ceil(F.count(F.lit(1)) / width).cast("int").alias("chunks"))
-    posts = bounded_join(posts, sizes, ["term"]).withColumn("c", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
-    # chunk c meets chunks >= c as the left side and chunks <= c as the right side
-    meet = F.transform(
-        F.sequence(F.lit(0), F.col("chunks") - 1),
-        lambda o: F.struct(F.least(F.col("c"), o).alias("i"), F.greatest(F.col("c"), o).alias("j")),
-    )
-    spread = posts.withColumn("ij", F.explode(meet)).select("term", "ij.i", "ij.j", "c", "doc", "terms", "weights", "p")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        term, i, j = int(pdf["term"].iloc[0]), int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        pdf = pdf.sort_values("doc", kind="stable").reset_index(drop=True)
-        side = pdf["c"].to_numpy()
-        left = np.flatnonzero(side == i)
-        right = left if i == j else np.flatnonzero(side == j)
-        none = pd.DataFrame({"doc_a": [], "doc_b": [], "sim": []}).astype({"doc_a": "int64", "doc_b": "int64", "sim": "float64"})
-        if len(left) == 0 or len(right) == 0 or (i == j and len(left) < 2):
-            return none
-        used, at = np.unique(np.concatenate(pdf["terms"].to_numpy()), return_inverse=True)
-        sizes = pdf["terms"].str.len().to_numpy()
-        rows = np.repeat(np.arange(len(pdf)), sizes)
-        dense = np.zeros((len(pdf), len(used)))
-        dense[rows, at] = np.concatenate(pdf["weights"].to_numpy())
-        sim = dense[left] @ dense[right].T
-        # pairs with an earlier common prefix term belong to that term's list
-        place = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        early = (place < np.repeat(pdf["p"].to_numpy(), sizes)) & (used[at] < term)
-        marks = np.zeros((len(pdf), int(np.searchsorted(used, term))), dtype=np.float32)
-        marks[rows[early], at[early]] = 1.0
-        a, b = np.nonzero((sim > threshold) & ((marks[left] @ marks[right].T) == 0))
-        if i == j:
-            a, b = a[a < b], b[a < b]
-        docs = pdf["doc"].to_numpy()
-        x, y = docs[left[a]], docs[right[b]]
-        out = list(zip(np.minimum(x, y), np.maximum(x, y), sim[a, b]))
-        if forest:
-            out = _spanning(out)
-        return pd.DataFrame(out, columns=["doc_a", "doc_b", "sim"]) if out else none
-
-    return spread.groupBy("term", "i", "j").applyInPandas(compare, "doc_a long, doc_b long, sim double")
-
-
-def _spanning(edges: list[tuple]) -> list[tuple]:
-    parent: dict = {}
-
-    def root(x):
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    kept = []
-    for a, b, s in edges:
-        ra, rb = root(a), root(b)
-        if ra != rb:
-            parent[ra] = rb
-            kept.append((a, b, s))
-    return kept
+    posts = cut_lineage(postings(vectors, threshold))
+    links = _verified(_with_leaders(posts.withColumn("component", F.col("doc")), threshold), vectors, threshold).select("doc_a", "doc_b")
+    links = cut_lineage(links)
+    for last in (False, True):
+        found = components(links, "doc_a", "doc_b", one_task=True).toDF("doc", "component")
+        labelled = cut_lineage(posts.join(found, "doc", "left").withColumn("component", F.coalesce("component", "doc")))
+        pairs = _met(labelled, threshold, "component") if last else _with_leaders(labelled, threshold)
+        more = cut_lineage(_verified(pairs, vectors, threshold).select("doc_a", "doc_b"))
+        links = links.unionByName(more)
+    return components(links, "doc_a", "doc_b", one_task=True).toDF("doc", "component")
+
+
+def _with_leaders(posts: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs of each list's first post with the first post of every other component in the list."""
+    cells = ["doc", "w", "s", "top", "total"]
+    first = F.min(F.struct((-F.col("s")).alias("rest"), *cells, "component")).alias("f")
+    heads = posts.groupBy("term", "component").agg(F.min(F.struct((-F.col("s")).alias("rest"), *cells)).alias("f")).select("term", "component", *[f"f.{c}" for c in cells])
+    heads = cut_lineage(heads)
+    leaders = heads.groupBy("term").agg(first).select("term", *[F.col(f"f.{c}").alias(c) for c in [*cells, "component"]])
+    pairs = heads.alias("a").join(leaders.alias("b"), (F.col("a.term") == F.col("b.term")) & (F.col("a.component") != F.col("b.component")) & _may_reach(threshold))
+    return pairs.select(F.least("a.doc", "b.doc").alias("doc_a"), F.greatest("a.doc", "b.doc").alias("doc_b")).distinct()
 
 
 def fuzzy_pairs(
-    df: DataFrame, key: str, columns: Sequence[str], threshold: float = 0.85, vocabulary: int = DEFAULT_VOCABULARY
+    df: DataFrame, key: str, columns: Sequence[str], threshold: float = 0.85, vocabulary: int | None = None
 ) -> DataFrame:
     """(key_a, key_b, sim): similar pairs of distinct documents, and each copy with its document at 1.0.
 
@@ -185,19 +218,19 @@ def fuzzy_pairs(
     return distinct.unionByName(copies)
 
 
-def _grouped(df: DataFrame, key: str, columns: Sequence[str], threshold: float, vocabulary: int):
+def _grouped(df: DataFrame, key: str, columns: Sequence[str], threshold: float, vocabulary: int | None):
     """(members with component, vectors with component) of all rows in a group of two or more."""
     members, docs = bags(df, key, columns)
     docs = cut_lineage(docs)
     vectors = cut_lineage(tfidf(docs, vocabulary))
-    comp = components(similar_docs(vectors, threshold, forest=True), "doc_a", "doc_b").toDF("doc", "component")
+    comp = linked_docs(vectors, threshold)
     labelled = vectors.join(comp, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     rows = members.join(labelled.select("bag", "component"), "bag")
     return rows, labelled
 
 
 def duplicate_groups(
-    df: DataFrame, key: str, columns: Sequence[str], threshold: float = 0.85, vocabulary: int = DEFAULT_VOCABULARY
+    df: DataFrame, key: str, columns: Sequence[str], threshold: float = 0.85, vocabulary: int | None = None
 ) -> DataFrame:
     """(group_id, size, mean_sim): all rows linked by similarity; the mean is over all pairs of rows.
 
@@ -221,7 +254,7 @@ def top_groups(groups: DataFrame, n: int = 15) -> DataFrame:
 
 
 def group_members(
-    df: DataFrame, key: str, columns: Sequence[str], threshold: float = 0.85, vocabulary: int = DEFAULT_VOCABULARY, first: int | None = None
+    df: DataFrame, key: str, columns: Sequence[str], threshold: float = 0.85, vocabulary: int | None = None, first: int | None = None
 ) -> DataFrame:
     """(group_id, key) of rows in a group; ``first`` keeps the smallest keys of each group."""
     rows, vectors = _grouped(df, key, columns, threshold, vocabulary)
@@ -234,7 +267,7 @@ def group_members(
 
 
 def smart_dedup(
-    df: DataFrame, key: str, columns: Sequence[str], threshold: float = 0.85, vocabulary: int = DEFAULT_VOCABULARY
+    df: DataFrame, key: str, columns: Sequence[str], threshold: float = 0.85, vocabulary: int | None = None
 ) -> DataFrame:
     """Rows that are alone or first (smallest key) in their similarity group."""
     rows, _ = _grouped(df, key, columns, threshold, vocabulary)

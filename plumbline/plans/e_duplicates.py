@@ -56,7 +56,7 @@ def e3(t):
 STOP = ", ".join(f"'{w}'" for w in s.STOP_WORDS)
 TFIDF = f"""WITH k AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{s.TOKEN}')) AS term FROM documents),
   tf AS (SELECT doc_id, term, count(*) AS tf FROM k WHERE term NOT IN ({STOP}) GROUP BY 1, 2),
-  voc AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 1000),
+  voc AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
   w AS (SELECT doc_id, term, tf * (ln((1 + (SELECT count(*) FROM documents)) * 1.0::DOUBLE / (1 + df)) + 1) AS w FROM tf JOIN voc USING (term)),
   u AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM w),
   sim AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.w * b.w) AS sim FROM u a JOIN u b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY 1, 2),
