@@ -1,7 +1,7 @@
 """Labelled anomaly injection: declarative families, exact rates, repeatable draws.
 
-A family is SQL text. Ranks come from md5 draws, so each family costs two light passes that find
-its cut-off draw; the injected table itself is a single map over the input.
+A family is SQL text. Ranks come from md5 draws, so two light passes find the cut-off draws of all families, whatever their
+number; the injected table itself is a single map over the input.
 """
 
 from __future__ import annotations
@@ -9,14 +9,16 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.draws import draw, draw_int
-from plumbline.operators.order_stats import NONE, hash_cuts, lowest_cut, one_row, ranked
+from plumbline.operators.order_stats import ALL, NONE, hash_cuts, lowest_cut, one_row, ranked
 from plumbline.operators.sampling import sample_n
 from plumbline.operators.scores import overall
+from plumbline.session import cut_lineage, is_small
 
 RANDOM = "{r}"  # placeholder for a non-negative random integer in family texts
 
@@ -47,13 +49,61 @@ def _text(df: DataFrame, column: str, value: Column) -> Column:
     return (value.cast("decimal(28,2)") if kind in ("double", "float") else value).cast("string")
 
 
-def _cut(marked: DataFrame, h: str, take: dict[int, int], seeds: Sequence[int]) -> Column:
-    """Cut-off draw as a literal, or one per seed as a literal map (bounded by the seeds)."""
-    if len(seeds) == 1:
-        return F.lit(lowest_cut(marked, h, take[seeds[0]]))
-    quotas = marked.sparkSession.createDataFrame([(s, 0, take[s]) for s in seeds], "seed int, slot int, take bigint")
-    cuts = {r["seed"]: r["cut"] for r in hash_cuts(marked, h, quotas, ["seed"]).collect()}
-    return F.element_at(F.create_map(*[x for s in seeds for x in (F.lit(s), F.lit(cuts.get(s, NONE)))]), F.col("seed"))
+def _key(seeds: Sequence[int]) -> list[str]:
+    return ["seed"] if len(seeds) > 1 else []
+
+
+def _cuts(marked: DataFrame, families: Sequence[Family], take: list[int], differs: list[Column], seeds: Sequence[int]) -> list[Column]:
+    """The cut-off draw of every family, as literals (one per seed: a literal map).
+
+    Families draw in order, each from rows that no earlier one changed, so family i takes rows among its ``take_i`` plus all earlier
+    takes lowest draws. A histogram of all families' draws finds those few rows in one pass; the order is resolved on them alone.
+    """
+    by, n = _key(seeds), len(families)
+    flags = marked.select(
+        *by, *[f"_h{i}" for i in range(n)], *[F.coalesce(F.expr(f.eligible), F.lit(False)).alias(f"_e{i}") for i, f in enumerate(families)],
+        *[d.alias(f"_d{i}") for i, d in enumerate(differs)],
+    )
+    need = [t + sum(x for x, f in zip(take[:i], families) if not f.copy) for i, t in enumerate(take)]
+    if not is_small(marked, 2.0):
+        cells = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.when(F.col(f"_e{i}"), F.substring(f"_h{i}", 1, 4)).alias("b")) for i in range(n)]))
+        bins = flags.select(*by, cells.alias("_c")).select(*by, "_c.*").filter("b IS NOT NULL").groupBy(*by, "f", "b").agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.partitionBy(*by, "f").orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
+        wanted = F.element_at(F.array(*[F.lit(x) for x in need]), F.col("f") + 1)
+        edges = bins.withColumn("_upto", upto).filter(F.col("_upto") >= wanted).groupBy(*by, "f").agg(F.min("b").alias("b")).collect()
+        edge = {(r["seed"] if by else seeds[0], r["f"]): r["b"] for r in edges}
+        near = [F.col(f"_e{i}") & (F.substring(f"_h{i}", 1, 4) <= _by_seed({s: edge.get((s, i), ALL) for s in seeds})) for i in range(n)]
+        flags = cut_lineage(flags.filter(reduce(lambda x, y: x | y, near)))
+    if is_small(flags, 2.0):
+        used, chosen = F.lit(False), []
+        for i, f in enumerate(families):
+            free = ~used & F.col(f"_e{i}")
+            rank = F.row_number().over(Window.partitionBy(*by, f"_f{i}").orderBy(f"_h{i}"))
+            flags = flags.withColumn(f"_f{i}", free).withColumn(f"_c{i}", F.col(f"_f{i}") & (rank <= take[i]))
+            chosen.append(F.coalesce(F.max(F.when(F.col(f"_c{i}"), F.col(f"_h{i}"))), F.lit(NONE)).alias(f"c{i}"))
+            if not f.copy:
+                used = used | (F.col(f"_c{i}") & F.col(f"_d{i}"))
+        found = {(r["seed"] if by else seeds[0]): r for r in flags.groupBy(*by).agg(*chosen).collect()}
+        return [_by_seed({s: found[s][f"c{i}"] if s in found else NONE for s in seeds}) for i in range(n)]
+    used, out = F.lit(False), []
+    for i, f in enumerate(families):
+        free = flags.filter(~used & F.col(f"_e{i}"))
+        if not by:
+            cut = F.lit(lowest_cut(free, f"_h{i}", take[i]))
+        else:
+            quotas = marked.sparkSession.createDataFrame([(s, 0, take[i]) for s in seeds], "seed int, slot int, take bigint")
+            cuts = {r["seed"]: r["cut"] for r in hash_cuts(free, f"_h{i}", quotas, by).collect()}
+            cut = _by_seed({s: cuts.get(s, NONE) for s in seeds})
+        out.append(cut)
+        if not f.copy:
+            used = used | (~used & F.col(f"_e{i}") & (F.col(f"_h{i}") <= cut) & F.col(f"_d{i}"))
+    return out
+
+
+def _by_seed(values: dict[int, str]) -> Column:
+    if len(values) == 1:
+        return F.lit(next(iter(values.values())))
+    return F.element_at(F.create_map(*[x for s, v in values.items() for x in (F.lit(s), F.lit(v))]), F.col("seed"))
 
 
 def inject(
@@ -69,21 +119,19 @@ def inject(
     if len(seeds) > 1:
         base = df.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
     seed_col = F.col("seed") if len(seeds) > 1 else seeds[0]
-    marked = base.withColumn("_fam", F.lit(None).cast("string"))
+    marked = base.withColumns({f"_h{i}": draw(seed_col, f.name, key) for i, f in enumerate(families)})
+    differs = []
+    for i, f in enumerate(families):
+        changed = [~F.expr(text.replace(RANDOM, _random(f"_h{i}"))).eqNullSafe(F.col(c)) for c, text in f.changes.items()]
+        differs.append(reduce(lambda x, y: x | y, changed, F.lit(False)))
+    cuts = _cuts(marked, families, [math.ceil(n * (f.rate or rate)) for f in families], differs, seeds)
+    marked = marked.withColumn("_fam", F.lit(None).cast("string"))
     for i, f in enumerate(families):
-        h = f"_h{i}"
-        marked = marked.withColumn(h, draw(seed_col, f.name, key))
-        free = F.col("_fam").isNull() & F.coalesce(F.expr(f.eligible), F.lit(False))
-        take = math.ceil(n * (f.rate or rate))
-        cut = _cut(marked.filter(free), h, dict.fromkeys(seeds, take), seeds)
-        chosen = free & (F.col(h) <= cut)
+        chosen = F.col("_fam").isNull() & F.coalesce(F.expr(f.eligible), F.lit(False)) & (F.col(f"_h{i}") <= cuts[i])
         if f.copy:
             marked = marked.withColumn(f"_copy{i}", chosen)
         else:
-            differs = F.lit(False)
-            for c, text in f.changes.items():
-                differs = differs | ~F.expr(text.replace(RANDOM, _random(h))).eqNullSafe(F.col(c))
-            marked = marked.withColumn("_fam", F.when(chosen & differs, F.lit(f.name)).otherwise(F.col("_fam")))
+            marked = marked.withColumn("_fam", F.when(chosen & differs[i], F.lit(f.name)).otherwise(F.col("_fam")))
     keep = [*base.columns]
     fam = F.col("_fam")
     new_values, shown = {}, {}
