@@ -6,14 +6,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.operators.order_stats import bounded_join, one_row
+from plumbline.operators.order_stats import bounded_join, one_row, quantile_name, quantiles
 from plumbline.operators.profile import numeric_columns
 from plumbline.session import cut_lineage
 
@@ -71,14 +69,50 @@ def coupled(dirty: DataFrame, prov: DataFrame, key: str, score: str, tau: float,
 
 @dataclass(frozen=True)
 class GateQuery:
-    """Analyst SQL over ``{table}``; ``columns`` are the columns it reads."""
+    """An analyst's query: one aggregate over a table, of all rows or by one column. ``columns`` are the columns it reads.
+
+    ``measure`` is SQL with ``{f}`` after each aggregate function. ``distinct`` counts the values of a column instead, ``percentile``
+    (column, share) interpolates one. ``top`` keeps the groups with the highest results, ties by group; ``ranked`` adds their rank.
+    """
 
     id: str
     dataset: str
     stratum: str
-    kind: str  # 'scalar' or 'table'
-    sql: str
     columns: tuple[str, ...]
+    name: str
+    measure: str
+    digits: int | None = None
+    where: str | None = None
+    by: str | None = None
+    top: int | None = None
+    ranked: bool = False
+    distinct: str | None = None
+    percentile: tuple[str, float] | None = None
+
+    @property
+    def kind(self) -> str:
+        return "table" if self.by else "scalar"
+
+    @property
+    def outputs(self) -> list[str]:
+        return [*([self.by] if self.by else []), self.name, *(["rnk"] if self.ranked else [])]
+
+    @property
+    def sql(self) -> str:
+        """The query as plain SQL over ``{table}``."""
+        raw = self.measure.replace("{f}", "").replace(" )", ")").strip()
+        if self.distinct:
+            raw = f"count(DISTINCT {self.distinct})"
+        if self.percentile:
+            raw = f"percentile_cont({self.percentile[1]}) WITHIN GROUP (ORDER BY {self.percentile[0]})"
+        shown = raw if self.digits is None else f"round({raw}, {self.digits})"
+        where = f" WHERE {self.where}" if self.where else ""
+        if not self.by:
+            return f"SELECT {shown} AS {self.name} FROM {{table}}{where}"
+        rank = f", rank() OVER (ORDER BY {raw} DESC NULLS LAST) AS rnk" if self.ranked else ""
+        order = "rnk" if self.ranked else f"{self.name} DESC NULLS LAST"
+        limit = f" ORDER BY {order}, {self.by} LIMIT {self.top}" if self.top else ""
+        return f"SELECT {self.by}, {shown} AS {self.name}{rank} FROM {{table}}{where} GROUP BY {self.by}{limit}"
 
 
 @dataclass(frozen=True)
@@ -93,45 +127,106 @@ class GateTables:
     tau: float
 
 
-def _normalised(f: T.StructField) -> Column:
-    if isinstance(f.dataType, T.NumericType):
-        return F.coalesce((F.round(F.col(f.name).cast("double"), 4) + 0.0).cast("string"), F.lit("NULL"))
-    return F.coalesce(F.lower(F.trim(F.col(f.name).cast("string"))), F.lit("NULL"))
+def _cell(value: Column) -> Column:
+    """A number as text for comparison."""
+    return F.coalesce((F.round(value.cast("double"), 4) + 0.0).cast("string"), F.lit("NULL"))
 
 
-def _as_rows(result: DataFrame, q: GateQuery, condition: str) -> DataFrame:
-    cells = [_normalised(f) for f in result.schema]
-    nums = [F.col(f.name).cast("double") if isinstance(f.dataType, T.NumericType) else F.lit(None).cast("double") for f in result.schema]
-    return result.select(
-        F.lit(q.id).alias("query_id"), F.lit(q.dataset).alias("dataset"), F.lit(q.stratum).alias("stratum"), F.lit(q.kind).alias("kind"),
-        F.lit(condition).alias("condition"), cells[0].alias("first"), F.array_join(F.array(*cells), "|").alias("row"), F.array(*nums).alias("nums"),
-    )
+def conditioned(t: GateTables, column_sets: Sequence[tuple[str, ...]]) -> DataFrame:
+    """One long table for all conditions: the columns of the truth, ``condition`` and ``_u0``, ``_u1``, ...
+
+    A row says which conditions it belongs to, so each table is read once. ``_u<i>`` tells whether a row of the coupled condition may
+    be used by queries over the i-th set of columns.
+    """
+    cols = t.truth.columns
+    held = t.dirty.filter(F.col(t.score) >= t.tau).select(F.col(t.key).alias("_k")).distinct().withColumn("_held", F.lit(True))
+    truth = bounded_join(t.truth.withColumn("_k", F.col(t.key)), held, ["_k"], "left").drop("_k")
+    own = F.array_compact(F.array(F.lit("true"), F.when(F.col("_held"), F.lit("repaired"))))
+    rows = truth.select(*cols, own.alias("_in"), F.lit(None).cast("array<string>").alias("_prov"))
+    prov = t.prov.select(F.col(t.key).alias("_k"), F.col("columns").alias("_prov"))
+    dirty = bounded_join(t.dirty.withColumn("_k", F.col(t.key)), prov, ["_k"], "left").drop("_k")
+    passed = F.col(t.score) < t.tau
+    own = F.when(passed, F.array(*[F.lit(c) for c in CONDITIONS])).otherwise(F.array(F.lit("dirty"), F.lit("coupled")))
+    rows = rows.unionByName(dirty.select(*cols, own.alias("_in"), F.when(~passed, F.col("_prov")).alias("_prov")))
+    uses = {f"_u{i}": F.coalesce(reinstated(F.col("_prov"), c), F.lit(True)) for i, c in enumerate(column_sets)}
+    return rows.withColumns(uses).withColumn("condition", F.explode("_in")).drop("_in", "_prov")
+
+
+def _run_dataset(spark: SparkSession, queries: Sequence[GateQuery], t: GateTables) -> DataFrame:
+    """Result rows of all queries of one dataset: one aggregate over grouping sets of (condition, column)."""
+    sets = list(dict.fromkeys(q.columns for q in queries))
+    groups = list(dict.fromkeys(c for q in queries for c in (q.by, q.distinct) if c))
+    rows = conditioned(t, sets).withColumns({f"_g{i}": F.col(c) for i, c in enumerate(groups)})
+    use = lambda q: f"(condition <> 'coupled' OR _u{sets.index(q.columns)})" + (f" AND ({q.where})" if q.where else "")
+    cells = []
+    for k, q in enumerate(queries):
+        only = f"FILTER (WHERE {use(q)})"
+        cells += [f"CAST({q.measure.replace('{f}', only)} AS DOUBLE) AS v{k}", f"count(*) {only} AS n{k}"]
+    each = ", ".join(["(condition)", *[f"(condition, _g{i})" for i in range(len(groups))]])
+    marks = "".join(f" WHEN grouping(_g{i}) = 0 THEN {i}" for i in range(len(groups)))
+    names = "".join(f", _g{i}" for i in range(len(groups)))
+    which = f"CASE{marks} ELSE -1 END" if groups else "-1"
+    sums = cut_lineage(spark.sql(f"SELECT condition, {which} AS _set{names}, {', '.join(cells)} FROM {{rows}} GROUP BY GROUPING SETS ({each})", rows=rows))
+
+    def long(part: DataFrame, own: list[tuple[int, Column, Column]], text: Column, number: Column) -> DataFrame:
+        cell = F.explode(F.array(*[F.struct(F.lit(k).alias("q"), v.cast("double").alias("v"), n.cast("bigint").alias("n")) for k, v, n in own]))
+        return part.select("condition", text.alias("text"), number.cast("double").alias("number"), cell.alias("c")).select("condition", "text", "number", "c.*")
+
+    none = F.lit(None)
+    every = spark.createDataFrame([(c,) for c in ["true", *CONDITIONS]], "condition string")
+    parts = []
+    plain = [(k, F.coalesce(F.col(f"v{k}"), F.lit(0.0)) if q.measure.startswith("count") else F.col(f"v{k}"), F.lit(1)) for k, q in enumerate(queries) if not (q.by or q.distinct or q.percentile)]
+    if plain:
+        parts.append(long(every.join(F.broadcast(sums.filter("_set = -1")), "condition", "left"), plain, none.cast("string"), none))
+    for i, c in enumerate(groups):
+        part, is_text = sums.filter(F.col("_set") == i), not isinstance(t.truth.schema[c].dataType, T.NumericType)
+        own = [(k, F.col(f"v{k}"), F.col(f"n{k}")) for k, q in enumerate(queries) if q.by == c]
+        if own:
+            found = long(part, own, F.col(f"_g{i}").cast("string") if is_text else none.cast("string"), none if is_text else F.col(f"_g{i}"))
+            parts.append(found.filter("n > 0"))
+        counted = [k for k, q in enumerate(queries) if q.distinct == c]
+        if counted:
+            values = part.groupBy("condition").agg(*[F.count_if((F.col(f"n{k}") > 0) & F.col(f"_g{i}").isNotNull()).alias(f"v{k}") for k in counted])
+            parts.append(long(every.join(F.broadcast(values), "condition", "left"), [(k, F.coalesce(F.col(f"v{k}"), F.lit(0)), F.lit(1)) for k in counted], none.cast("string"), none))
+    for k, q in enumerate(queries):
+        if q.percentile:
+            column, share = q.percentile
+            inside = rows.filter(use(q)).select("condition", column)
+            values = quantiles(inside, [column], [share], ["condition"]).withColumnRenamed(quantile_name(column, 0), "v")
+            parts.append(long(every.join(F.broadcast(values), "condition", "left"), [(k, F.col("v"), F.lit(1))], none.cast("string"), none))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def run_gate(spark: SparkSession, queries: Sequence[GateQuery], tables: dict[str, GateTables]) -> DataFrame:
     """Result rows of every query on the true table and under every condition, as one long table
-    (query_id, dataset, stratum, kind, condition, first, row, nums)."""
-    views = {}
+    (query_id, dataset, stratum, kind, condition, first, row, nums). Each table of a dataset is read once for all of them."""
+    out = None
     for name, t in tables.items():
-        cols = t.truth.columns
-        views[name] = {
-            "true": t.truth, "dirty": t.dirty.select(*cols), "clean": quarantine(t.dirty, t.score, t.tau).select(*cols),
-            "repaired": repair(t.dirty, t.truth, t.key, t.score, t.tau),
-        }
-
-    def run(q: GateQuery) -> DataFrame:
-        t = tables[q.dataset]
-        by_condition = {
-            **views[q.dataset],
-            "coupled": coupled(t.dirty, t.prov, t.key, t.score, t.tau, q.columns).select(*t.truth.columns),
-        }
-        rows = [_as_rows(spark.sql(q.sql, table=df), q, c) for c, df in by_condition.items()]
-        return cut_lineage(reduce(lambda a, b: a.unionByName(b), rows))
-
-    # the queries are independent jobs over stored tables; submit several side by side
-    with ThreadPool(8) as pool:
-        parts = pool.map(inheritable_thread_target(spark)(run), queries)
-    return reduce(lambda a, b: a.unionByName(b), parts)
+        own = [q for q in queries if q.dataset == name]
+        if not own:
+            continue
+        facts = spark.createDataFrame(
+            [(k, q.id, q.stratum, q.kind, q.digits, q.top or 0, q.ranked) for k, q in enumerate(own)],
+            "q int, query_id string, stratum string, kind string, digits int, top int, ranked boolean",
+        )
+        found = _run_dataset(spark, own, t).join(F.broadcast(facts), "q").withColumn("dataset", F.lit(name))
+        out = found if out is None else out.unionByName(found)
+    digits = sorted({q.digits for q in queries if q.digits is not None})
+    value = reduce(lambda a, d: F.when(F.col("digits") == d, F.round("v", d)).otherwise(a), digits, F.col("v"))
+    # groups of one query under one condition; ties in the order by group
+    order = Window.partitionBy("query_id", "condition").orderBy(F.desc_nulls_last(F.when(F.col("ranked"), F.col("v")).otherwise(F.col("value"))))
+    named = out.withColumn("value", value).withColumn("rnk", F.rank().over(order)).withColumn("place", F.row_number().over(order.orderBy(
+        F.desc_nulls_last(F.when(F.col("ranked"), F.col("v")).otherwise(F.col("value"))), F.asc_nulls_last("text"), F.asc_nulls_last("number"))))
+    kept = named.filter((F.col("top") == 0) | (F.col("place") <= F.col("top")))
+    text_group = F.when(F.col("text").isNotNull() | F.col("number").isNull(), F.coalesce(F.lower(F.trim("text")), F.lit("NULL"))).otherwise(_cell(F.col("number")))
+    group = F.when(F.col("kind") == "table", text_group)
+    rank = F.when(F.col("ranked"), _cell(F.col("rnk")))
+    is_table = F.col("kind") == "table"
+    nums = F.when(F.col("ranked"), F.array("number", "value", F.col("rnk").cast("double"))).when(is_table, F.array("number", "value")).otherwise(F.array("value"))
+    return kept.select(
+        "query_id", "dataset", "stratum", "kind", "condition", F.coalesce(group, _cell(F.col("value"))).alias("first"),
+        F.concat_ws("|", group, _cell(F.col("value")), rank).alias("row"), nums.alias("nums"),
+    )
 
 
 GROUP = ["query_id", "dataset", "stratum", "kind", "condition"]

@@ -6,62 +6,57 @@ names follow our tables, and ties in an order are broken by the group.
 
 from plumbline.operators.gates import GateQuery
 
+P, C = "payroll", "credit"
 
-def _q(qid, dataset, kind, columns, sql):
-    stratum = "targeted" if qid.startswith("T") else "control"
-    return GateQuery(qid, dataset, stratum, kind, sql, tuple(columns.split()))
 
+def _q(qid, dataset, columns, name, measure, digits=None, **more):
+    return GateQuery(qid, dataset, "targeted" if qid.startswith("T") else "control", tuple(columns.split()), name, measure, digits, **more)
 
-def _count(name, where):
-    return f"SELECT count(*) AS {name} FROM {{table}} WHERE {where}"
 
+def _sum(c):
+    return f"sum({c}) {{f}}"
 
-def _by(column, order=None):
-    return f"SELECT {column}, count(*) AS n FROM {{table}} GROUP BY {column} ORDER BY {order or column}"
 
+def _avg(c):
+    return f"avg({c}) {{f}}"
+
+
+N = "count(*) {f}"
 
-P, C = "payroll", "credit"
 GATE_QUERIES = [
-    _q("T01", P, "scalar", "total_ot_paid", "SELECT round(sum(total_ot_paid), 2) AS total_ot FROM {table}"),
-    _q("T02", P, "scalar", "total_ot_paid regular_hours", _count("n", "total_ot_paid > 0 AND regular_hours = 0")),
-    _q("T03", P, "scalar", "regular_gross_paid", "SELECT round(avg(regular_gross_paid), 2) AS avg_gross FROM {table}"),
-    _q("T04", P, "scalar", "regular_gross_paid", _count("n", "regular_gross_paid > 200000")),
-    _q("T05", P, "table", "agency_name total_ot_paid",
-       "SELECT agency_name, round(sum(total_ot_paid), 2) AS agency_ot FROM {table} GROUP BY agency_name ORDER BY agency_ot DESC NULLS LAST, agency_name LIMIT 5"),
-    _q("T06", P, "scalar", "total_ot_paid regular_gross_paid",
-       "SELECT round(sum(total_ot_paid) / nullif(sum(regular_gross_paid), 0), 4) AS ot_ratio FROM {table}"),
-    _q("T07", P, "table", "title_description regular_gross_paid",
-       "SELECT title_description, round(avg(regular_gross_paid), 2) AS avg_gp FROM {table} WHERE title_description ILIKE '%ANALYST%' GROUP BY title_description ORDER BY avg_gp DESC NULLS LAST, title_description LIMIT 10"),
-    _q("T08", P, "scalar", "title_description", "SELECT count(DISTINCT title_description) AS n_titles FROM {table}"),
-    _q("T09", P, "scalar", "regular_gross_paid",
-       "SELECT round(percentile_cont(0.9) WITHIN GROUP (ORDER BY regular_gross_paid), 2) AS p90 FROM {table}"),
-    _q("T10", P, "table", "agency_name total_ot_paid",
-       "SELECT agency_name, sum(total_ot_paid) AS agency_ot, rank() OVER (ORDER BY sum(total_ot_paid) DESC NULLS LAST) AS rnk FROM {table} GROUP BY agency_name ORDER BY rnk, agency_name LIMIT 5"),
-    _q("T11", C, "table", "education", _by("education")),
-    _q("T12", C, "scalar", "education", _count("n_invalid", "education NOT IN (1, 2, 3, 4, 5, 6)")),
-    _q("T13", C, "scalar", "limit_bal", "SELECT round(avg(limit_bal), 2) AS avg_limit FROM {table}"),
-    _q("T14", C, "scalar", "limit_bal", _count("n_outlier", "limit_bal > 500000")),
-    _q("T15", C, "scalar", "bill_amt1", _count("n_neg", "bill_amt1 < 0")),
-    _q("T16", C, "scalar", "bill_amt1", "SELECT CAST(sum(bill_amt1) AS DOUBLE) AS sum_bill1 FROM {table}"),
-    _q("T17", C, "scalar", "pay_0", _count("n_bad_pay", "pay_0 > 8")),
-    _q("T18", C, "scalar", "age", "SELECT round(avg(age), 2) AS avg_age FROM {table}"),
-    _q("T19", C, "scalar", "age", _count("n_bad_age", "age < 18 OR age > 100")),
-    _q("T20", C, "table", "education limit_bal",
-       "SELECT education, round(avg(limit_bal), 2) AS avg_lim FROM {table} GROUP BY education ORDER BY education"),
-    _q("C01", P, "scalar", "agency_name", "SELECT count(DISTINCT agency_name) AS n_agencies FROM {table}"),
-    _q("C02", P, "table", "work_location_borough", _by("work_location_borough", "n DESC, work_location_borough")),
-    _q("C03", P, "table", "pay_basis", _by("pay_basis")),
-    _q("C04", P, "scalar", "regular_hours", "SELECT round(avg(regular_hours), 4) AS avg_hours FROM {table}"),
-    _q("C05", P, "scalar", "total_other_pay", "SELECT round(sum(total_other_pay), 2) AS total_other FROM {table}"),
-    _q("C06", P, "scalar", "ot_hours", "SELECT round(avg(ot_hours), 4) AS avg_ot_hrs FROM {table}"),
-    _q("C07", P, "scalar", "leave_status", _count("n_active", "leave_status = 'ACTIVE'")),
-    _q("C08", P, "table", "agency_name regular_hours",
-       "SELECT agency_name, round(avg(regular_hours), 4) AS avg_hrs, rank() OVER (ORDER BY avg(regular_hours) DESC NULLS LAST) AS rnk FROM {table} GROUP BY agency_name ORDER BY rnk, agency_name LIMIT 10"),
-    _q("C09", C, "table", "sex", _by("sex")),
-    _q("C10", C, "table", "marriage", _by("marriage")),
-    _q("C11", C, "scalar", "bill_amt2", "SELECT round(avg(bill_amt2), 2) AS avg_bill2 FROM {table}"),
-    _q("C12", C, "scalar", "pay_amt1", "SELECT CAST(sum(pay_amt1) AS DOUBLE) AS sum_pay1 FROM {table}"),
-    _q("C13", C, "table", "default_next", _by("default_next")),
-    _q("C14", C, "scalar", "pay_amt3", "SELECT round(avg(pay_amt3), 2) AS avg_pay3 FROM {table}"),
-    _q("C15", C, "scalar", "pay_2", _count("n_delin", "pay_2 >= 2")),
+    _q("T01", P, "total_ot_paid", "total_ot", _sum("total_ot_paid"), 2),
+    _q("T02", P, "total_ot_paid regular_hours", "n", N, where="total_ot_paid > 0 AND regular_hours = 0"),
+    _q("T03", P, "regular_gross_paid", "avg_gross", _avg("regular_gross_paid"), 2),
+    _q("T04", P, "regular_gross_paid", "n", N, where="regular_gross_paid > 200000"),
+    _q("T05", P, "agency_name total_ot_paid", "agency_ot", _sum("total_ot_paid"), 2, by="agency_name", top=5),
+    _q("T06", P, "total_ot_paid regular_gross_paid", "ot_ratio", f"{_sum('total_ot_paid')} / nullif({_sum('regular_gross_paid')}, 0)", 4),
+    _q("T07", P, "title_description regular_gross_paid", "avg_gp", _avg("regular_gross_paid"), 2, where="title_description ILIKE '%ANALYST%'", by="title_description", top=10),
+    _q("T08", P, "title_description", "n_titles", N, distinct="title_description"),
+    _q("T09", P, "regular_gross_paid", "p90", N, 2, percentile=("regular_gross_paid", 0.9)),
+    _q("T10", P, "agency_name total_ot_paid", "agency_ot", _sum("total_ot_paid"), by="agency_name", top=5, ranked=True),
+    _q("T11", C, "education", "n", N, by="education"),
+    _q("T12", C, "education", "n_invalid", N, where="education NOT IN (1, 2, 3, 4, 5, 6)"),
+    _q("T13", C, "limit_bal", "avg_limit", _avg("limit_bal"), 2),
+    _q("T14", C, "limit_bal", "n_outlier", N, where="limit_bal > 500000"),
+    _q("T15", C, "bill_amt1", "n_neg", N, where="bill_amt1 < 0"),
+    _q("T16", C, "bill_amt1", "sum_bill1", _sum("bill_amt1")),
+    _q("T17", C, "pay_0", "n_bad_pay", N, where="pay_0 > 8"),
+    _q("T18", C, "age", "avg_age", _avg("age"), 2),
+    _q("T19", C, "age", "n_bad_age", N, where="age < 18 OR age > 100"),
+    _q("T20", C, "education limit_bal", "avg_lim", _avg("limit_bal"), 2, by="education"),
+    _q("C01", P, "agency_name", "n_agencies", N, distinct="agency_name"),
+    _q("C02", P, "work_location_borough", "n", N, by="work_location_borough"),
+    _q("C03", P, "pay_basis", "n", N, by="pay_basis"),
+    _q("C04", P, "regular_hours", "avg_hours", _avg("regular_hours"), 4),
+    _q("C05", P, "total_other_pay", "total_other", _sum("total_other_pay"), 2),
+    _q("C06", P, "ot_hours", "avg_ot_hrs", _avg("ot_hours"), 4),
+    _q("C07", P, "leave_status", "n_active", N, where="leave_status = 'ACTIVE'"),
+    _q("C08", P, "agency_name regular_hours", "avg_hrs", _avg("regular_hours"), 4, by="agency_name", top=10, ranked=True),
+    _q("C09", C, "sex", "n", N, by="sex"),
+    _q("C10", C, "marriage", "n", N, by="marriage"),
+    _q("C11", C, "bill_amt2", "avg_bill2", _avg("bill_amt2"), 2),
+    _q("C12", C, "pay_amt1", "sum_pay1", _sum("pay_amt1")),
+    _q("C13", C, "default_next", "n", N, by="default_next"),
+    _q("C14", C, "pay_amt3", "avg_pay3", _avg("pay_amt3"), 2),
+    _q("C15", C, "pay_2", "n_delin", N, where="pay_2 >= 2"),
 ]

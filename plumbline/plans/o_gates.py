@@ -14,36 +14,28 @@ from plumbline.plans.shapes import credit, payroll
 from plumbline.session import cut_lineage
 
 TAU = 0.5
-_CACHE: dict = {}
 
+DATASETS = {
+    "payroll": (payroll, PAYROLL_FAMILIES, ft.payroll_rules), "credit": (credit, CREDIT_FAMILIES, ft.credit_rules),
+}
 
-def tables(t):
-    """Truth, scored dirty table and provenance per dataset, stored once per session and folder."""
-    slot = (t.spark.sparkContext.applicationId, t.root, "tables")
-    if slot not in _CACHE:
-        out = {}
-        for name, make, families, rules in (("payroll", payroll, PAYROLL_FAMILIES, ft.payroll_rules), ("credit", credit, CREDIT_FAMILIES, ft.credit_rules)):
-            truth = cut_lineage(make(t))
-            dirty = injected(truth, families)
-            scored = cut_lineage(dirty.join(rules(dirty).select("row_id", F.round("rule", 6).alias("score")), "row_id"))
-            prov = cut_lineage(g.provenance(scored, truth, "row_id", "score", TAU))
-            out[name] = g.GateTables(truth, scored, prov, "row_id", "score", TAU)
-        _CACHE[slot] = out
-    return _CACHE[slot]
+
+def table(t, name):
+    """Truth, scored dirty table and provenance of one dataset."""
+    make, families, rules = DATASETS[name]
+    truth = cut_lineage(make(t))
+    dirty = injected(truth, families)
+    scored = cut_lineage(dirty.join(rules(dirty).select("row_id", F.round("rule", 6).alias("score")), "row_id"))
+    prov = cut_lineage(g.provenance(scored, truth, "row_id", "score", TAU))
+    return g.GateTables(truth, scored, prov, "row_id", "score", TAU)
 
 
 def results(t):
-    slot = (t.spark.sparkContext.applicationId, t.root, "results")
-    if slot not in _CACHE:
-        _CACHE[slot] = cut_lineage(g.run_gate(t.spark, GATE_QUERIES, tables(t)))
-    return _CACHE[slot]
+    return cut_lineage(g.run_gate(t.spark, GATE_QUERIES, {name: table(t, name) for name in DATASETS}))
 
 
 def per_query(t):
-    slot = (t.spark.sparkContext.applicationId, t.root, "compared")
-    if slot not in _CACHE:
-        _CACHE[slot] = cut_lineage(g.compare(results(t)))
-    return _CACHE[slot]
+    return cut_lineage(g.compare(results(t)))
 
 
 # --- the same in SQL -------------------------------------------------------------------------------
@@ -98,16 +90,7 @@ TEXT_RESULTS = {"agency_name", "title_description", "work_location_borough", "pa
 
 def _outputs(q):
     """Output names of a suite query with whether they are text."""
-    head = q.sql.split(" FROM {table}")[0][len("SELECT "):]
-    names, depth, cur = [], 0, ""
-    for ch in head + ",":
-        depth += (ch == "(") - (ch == ")")
-        if ch == "," and depth == 0:
-            names.append(cur.strip().split(" AS ")[-1].strip())
-            cur = ""
-        else:
-            cur += ch
-    return [(n, n in TEXT_RESULTS) for n in names]
+    return [(n, n in TEXT_RESULTS) for n in q.outputs]
 
 
 def results_cte():
@@ -157,24 +140,24 @@ CCOLS = ", ".join(SHAPES["credit"][2])
 
 @query("o1_quarantine", f"{ONE} SELECT row_id, score FROM credit_dirty WHERE score < {TAU}")
 def o1(t):
-    return g.quarantine(tables(t)["credit"].dirty, "score", TAU).select("row_id", "score")
+    return g.quarantine(table(t, "credit").dirty, "score", TAU).select("row_id", "score")
 
 
 @query("o2_repair", f"{ONE} SELECT * FROM {condition_sql('credit', 'repaired')} r")
 def o2(t):
-    c = tables(t)["credit"]
+    c = table(t, "credit")
     return g.repair(c.dirty, c.truth, "row_id", "score", TAU)
 
 
 @query("o2_repair_added_rows", f"WITH {scored_sql('payroll')} SELECT row_id, last_name, agency_name FROM {condition_sql('payroll', 'repaired')} r")
 def o2_payroll(t):
-    p = tables(t)["payroll"]
+    p = table(t, "payroll")
     return g.repair(p.dirty, p.truth, "row_id", "score", TAU).select("row_id", "last_name", "agency_name")
 
 
 @query("o3_column_provenance", f"WITH {scored_sql('payroll')} SELECT row_id, array_to_string(columns, ',') AS columns FROM payroll_prov")
 def o3(t):
-    return tables(t)["payroll"].prov.select("row_id", F.array_join("columns", ",").alias("columns"))
+    return table(t, "payroll").prov.select("row_id", F.array_join("columns", ",").alias("columns"))
 
 
 @query(
@@ -182,7 +165,7 @@ def o3(t):
     f"WITH {scored_sql('payroll')} SELECT row_id, total_ot_paid FROM {condition_sql('payroll', 'coupled', ['total_ot_paid', 'regular_hours'])} r",
 )
 def o4(t):
-    p = tables(t)["payroll"]
+    p = table(t, "payroll")
     return g.coupled(p.dirty, p.prov, "row_id", "score", TAU, ["total_ot_paid", "regular_hours"]).select("row_id", "total_ot_paid")
 
 
@@ -265,7 +248,7 @@ def o11(t):
     count(*) FILTER (WHERE y = 1) AS n_positive FROM u GROUP BY 1""",
 )
 def o12(t):
-    both = [tables(t)[d].dirty.select(F.lit(d).alias("dataset"), "y", "score") for d in ("payroll", "credit")]
+    both = [table(t, d).dirty.select(F.lit(d).alias("dataset"), "y", "score") for d in ("payroll", "credit")]
     return g.analyst_cost(both[0].unionByName(both[1]), "y", "score", TAU, ["dataset"])
 
 
@@ -280,7 +263,7 @@ PAIRS = ", ".join(f"('{k}', '{c}')" for k, v in g.FAMILY_COLUMNS.items() for c i
     FROM payroll_dirty d JOIN (VALUES {PAIRS}) m(family, col) ON m.family = d.family GROUP BY 1, 2""",
 )
 def o13(t):
-    out = g.column_risk(tables(t)["payroll"].dirty, "family", "score", TAU)
+    out = g.column_risk(table(t, "payroll").dirty, "family", "score", TAU)
     return out.withColumns({c: F.round(c, 6) for c in ("rate", "risk_mass")})
 
 
