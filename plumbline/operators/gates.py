@@ -42,37 +42,32 @@ def provenance(
     """(key, columns): per quarantined row the columns with |z| above ``z`` against the true table;
     added rows carry STRUCTURAL."""
     cols = [c for c in (columns or numeric_columns(truth)) if c != key]
-    stats = truth.agg(
-        *[F.avg(F.col(c).cast("double")).alias(f"{c}__m") for c in cols],
-        *[F.stddev_samp(F.col(c).cast("double")).alias(f"{c}__s") for c in cols],
-    )
+    stats = truth.selectExpr(*[x for c in cols for x in (f"avg(double(`{c}`)) AS `{c}__m`", f"stddev_samp(double(`{c}`)) AS `{c}__s`")])
     held = dirty.filter(F.col(score) >= tau)
     known = held.join(truth.select(F.col(key), F.lit(True).alias("_known")), key, "left")
-    odd = lambda c: F.abs((F.col(c) - F.col(f"{c}__m")) / F.when(F.col(f"{c}__s") == 0, 1.0).otherwise(F.col(f"{c}__s"))) > z
-    implicated = F.array_compact(F.array(*[F.when(odd(c), F.lit(c)) for c in cols]))
-    return one_row(known, stats).select(
-        key, F.when(F.col("_known"), implicated).otherwise(F.array(F.lit(STRUCTURAL))).alias("columns")
-    )
+    odd = [f"CASE WHEN abs((`{c}` - `{c}__m`) / CASE WHEN `{c}__s` = 0 THEN 1.0D ELSE `{c}__s` END) > {float(z)}D THEN '{c}' END" for c in cols]
+    implicated = f"array_compact(array({', '.join(odd)}))" if odd else "array()"
+    return one_row(known, stats).selectExpr(f"`{key}`", f"CASE WHEN _known THEN {implicated} ELSE array('{STRUCTURAL}') END AS columns")
 
 
-def reinstated(prov: Column, query_columns: Sequence[str]) -> Column:
-    """Whether a quarantined row may be used by a query over ``query_columns``."""
-    used = F.array(*[F.lit(c) for c in query_columns])
-    return ~F.array_contains(prov, STRUCTURAL) & ((F.size(prov) == 0) | ~F.arrays_overlap(prov, used))
+def reinstated(prov: str, query_columns: Sequence[str]) -> str:
+    """SQL condition: whether a quarantined row may be used by a query over ``query_columns``."""
+    used = ", ".join(f"'{c}'" for c in query_columns)
+    return f"NOT array_contains({prov}, '{STRUCTURAL}') AND (size({prov}) = 0 OR NOT arrays_overlap({prov}, array({used})))"
 
 
 def coupled(dirty: DataFrame, prov: DataFrame, key: str, score: str, tau: float, query_columns: Sequence[str]) -> DataFrame:
     """Rows that pass, plus quarantined rows whose implicated columns the query does not read."""
     j = dirty.join(prov.withColumnRenamed("columns", "_prov"), key, "left")
-    return j.filter((F.col(score) < tau) | reinstated(F.col("_prov"), query_columns)).drop("_prov")
+    return j.filter(f"`{score}` < {tau} OR ({reinstated('_prov', query_columns)})").drop("_prov")
 
 
 @dataclass(frozen=True)
 class GateQuery:
     """An analyst's query: one aggregate over a table, of all rows or by one column. ``columns`` are the columns it reads.
 
-    ``measure`` is SQL with ``{f}`` after each aggregate function. ``distinct`` counts the values of a column instead, ``percentile``
-    (column, share) interpolates one. ``top`` keeps the groups with the highest results, ties by group; ``ranked`` adds their rank.
+    ``measure`` is sum, avg, count, ratio (of two sums), distinct or percentile (at ``share``) over the columns ``over``. ``top`` keeps the
+    groups with the highest results, ties by group; ``ranked`` adds their rank.
     """
 
     id: str
@@ -81,13 +76,13 @@ class GateQuery:
     columns: tuple[str, ...]
     name: str
     measure: str
+    over: tuple[str, ...] = ()
     digits: int | None = None
     where: str | None = None
     by: str | None = None
     top: int | None = None
     ranked: bool = False
-    distinct: str | None = None
-    percentile: tuple[str, float] | None = None
+    share: float | None = None
 
     @property
     def kind(self) -> str:
@@ -100,11 +95,10 @@ class GateQuery:
     @property
     def sql(self) -> str:
         """The query as plain SQL over ``{table}``."""
-        raw = self.measure.replace("{f}", "").replace(" )", ")").strip()
-        if self.distinct:
-            raw = f"count(DISTINCT {self.distinct})"
-        if self.percentile:
-            raw = f"percentile_cont({self.percentile[1]}) WITHIN GROUP (ORDER BY {self.percentile[0]})"
+        raw = {
+            "sum": "sum({0})", "avg": "avg({0})", "count": "count(*)", "ratio": "sum({0}) / nullif(sum({1}), 0)", "distinct": "count(DISTINCT {0})",
+            "percentile": f"percentile_cont({self.share}) WITHIN GROUP (ORDER BY {{0}})",
+        }[self.measure].format(*self.over)
         shown = raw if self.digits is None else f"round({raw}, {self.digits})"
         where = f" WHERE {self.where}" if self.where else ""
         if not self.by:
@@ -148,80 +142,77 @@ def conditioned(t: GateTables, column_sets: Sequence[tuple[str, ...]]) -> DataFr
     passed = F.col(t.score) < t.tau
     own = F.when(passed, F.array(*[F.lit(c) for c in CONDITIONS])).otherwise(F.array(F.lit("dirty"), F.lit("coupled")))
     rows = rows.unionByName(dirty.select(*cols, own.alias("_in"), F.when(~passed, F.col("_prov")).alias("_prov")))
-    uses = {f"_u{i}": F.coalesce(reinstated(F.col("_prov"), c), F.lit(True)) for i, c in enumerate(column_sets)}
-    return rows.withColumns(uses).withColumn("condition", F.explode("_in")).drop("_in", "_prov")
-
-
-def _run_dataset(spark: SparkSession, queries: Sequence[GateQuery], t: GateTables) -> DataFrame:
-    """Result rows of all queries of one dataset: one aggregate over grouping sets of (condition, column)."""
-    sets = list(dict.fromkeys(q.columns for q in queries))
-    groups = list(dict.fromkeys(c for q in queries for c in (q.by, q.distinct) if c))
-    rows = conditioned(t, sets).withColumns({f"_g{i}": F.col(c) for i, c in enumerate(groups)})
-    use = lambda q: f"(condition <> 'coupled' OR _u{sets.index(q.columns)})" + (f" AND ({q.where})" if q.where else "")
-    cells = []
-    for k, q in enumerate(queries):
-        only = f"FILTER (WHERE {use(q)})"
-        cells += [f"CAST({q.measure.replace('{f}', only)} AS DOUBLE) AS v{k}", f"count(*) {only} AS n{k}"]
-    each = ", ".join(["(condition)", *[f"(condition, _g{i})" for i in range(len(groups))]])
-    marks = "".join(f" WHEN grouping(_g{i}) = 0 THEN {i}" for i in range(len(groups)))
-    names = "".join(f", _g{i}" for i in range(len(groups)))
-    which = f"CASE{marks} ELSE -1 END" if groups else "-1"
-    sums = cut_lineage(spark.sql(f"SELECT condition, {which} AS _set{names}, {', '.join(cells)} FROM {{rows}} GROUP BY GROUPING SETS ({each})", rows=rows))
-
-    def long(part: DataFrame, own: list[tuple[int, Column, Column]], text: Column, number: Column) -> DataFrame:
-        cell = F.explode(F.array(*[F.struct(F.lit(k).alias("q"), v.cast("double").alias("v"), n.cast("bigint").alias("n")) for k, v, n in own]))
-        return part.select("condition", text.alias("text"), number.cast("double").alias("number"), cell.alias("c")).select("condition", "text", "number", "c.*")
-
-    none = F.lit(None)
-    every = spark.createDataFrame([(c,) for c in ["true", *CONDITIONS]], "condition string")
-    parts = []
-    plain = [(k, F.coalesce(F.col(f"v{k}"), F.lit(0.0)) if q.measure.startswith("count") else F.col(f"v{k}"), F.lit(1)) for k, q in enumerate(queries) if not (q.by or q.distinct or q.percentile)]
-    if plain:
-        parts.append(long(every.join(F.broadcast(sums.filter("_set = -1")), "condition", "left"), plain, none.cast("string"), none))
-    for i, c in enumerate(groups):
-        part, is_text = sums.filter(F.col("_set") == i), not isinstance(t.truth.schema[c].dataType, T.NumericType)
-        own = [(k, F.col(f"v{k}"), F.col(f"n{k}")) for k, q in enumerate(queries) if q.by == c]
-        if own:
-            found = long(part, own, F.col(f"_g{i}").cast("string") if is_text else none.cast("string"), none if is_text else F.col(f"_g{i}"))
-            parts.append(found.filter("n > 0"))
-        counted = [k for k, q in enumerate(queries) if q.distinct == c]
-        if counted:
-            values = part.groupBy("condition").agg(*[F.count_if((F.col(f"n{k}") > 0) & F.col(f"_g{i}").isNotNull()).alias(f"v{k}") for k in counted])
-            parts.append(long(every.join(F.broadcast(values), "condition", "left"), [(k, F.coalesce(F.col(f"v{k}"), F.lit(0)), F.lit(1)) for k in counted], none.cast("string"), none))
-    for k, q in enumerate(queries):
-        if q.percentile:
-            column, share = q.percentile
-            inside = rows.filter(use(q)).select("condition", column)
-            values = quantiles(inside, [column], [share], ["condition"]).withColumnRenamed(quantile_name(column, 0), "v")
-            parts.append(long(every.join(F.broadcast(values), "condition", "left"), [(k, F.col("v"), F.lit(1))], none.cast("string"), none))
+    uses = [f"coalesce({reinstated('_prov', c)}, true) AS _u{i}" for i, c in enumerate(column_sets)]
+    return rows.selectExpr(*[f"`{c}`" for c in cols], *uses, "explode(_in) AS condition")
+
+
+def _run_dataset(queries: Sequence[tuple[int, GateQuery]], t: GateTables) -> DataFrame:
+    """(q, condition, text, number, v): the results of numbered queries over one dataset, by group.
+
+    A row of the long table goes to the queries that use it, and one aggregate adds up (query, condition, group).
+    """
+    sets = list(dict.fromkeys(q.columns for _, q in queries))
+    rows = conditioned(t, sets)
+    is_text = lambda c: not isinstance(t.truth.schema[c].dataType, T.NumericType)
+
+    def used(q: GateQuery) -> str:
+        allowed = f"(condition <> 'coupled' OR _u{sets.index(q.columns)})"
+        return f"{allowed} AND coalesce({q.where}, false)" if q.where else allowed
+
+    def cell(k: int, q: GateQuery) -> str:
+        group = q.over[0] if q.measure == "distinct" else q.by
+        text = f"string(`{group}`)" if group and is_text(group) else "string(null)"
+        number = f"double(`{group}`)" if group and not is_text(group) else "double(null)"
+        x, d = [f"double(`{q.over[i]}`)" if q.measure in ("sum", "avg", "ratio") and i < len(q.over) else "double(null)" for i in range(2)]
+        return f"CASE WHEN {used(q)} THEN named_struct('q', {k}, 'text', {text}, 'number', {number}, 'x', {x}, 'd', {d}) END"
+
+    # SQL text: one expression a query
+    cells = ", ".join(cell(k, q) for k, q in queries if q.measure != "percentile")
+    added = rows.selectExpr("condition", f"explode(array_compact(array({cells}))) AS c").selectExpr("condition", "c.*").groupBy("q", "condition", "text", "number").agg(
+        F.sum("x").alias("x"), F.count("x").alias("nx"), F.sum("d").alias("d"), F.count(F.lit(1)).alias("n")
+    )
+    kinds = F.expr("CASE q " + " ".join(f"WHEN {k} THEN '{q.measure}'" for k, q in queries) + " END")
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
+    is_set = kinds == "distinct"
+    found = F.when(kinds == "sum", F.col("x")).when(kinds == "avg", F.try_divide("x", "nx")).when(kinds == "ratio", F.try_divide("x", "d")).otherwise(F.col("n").cast("double"))
+    stored = cut_lineage(added.withColumn("v", found).withColumn("is_set", is_set).select("q", "condition", "text", "number", "v", "is_set"))
+    parts = [stored.filter("NOT is_set").drop("is_set")]
+    values = stored.filter("is_set").groupBy("q", "condition").agg(F.count_if(F.col("text").isNotNull() | F.col("number").isNotNull()).cast("double").alias("v"))
+    parts.append(values.select("q", "condition", text.alias("text"), number.alias("number"), "v"))
+    for k, q in queries:
+        if q.measure == "percentile":
+            inside = rows.filter(used(q)).selectExpr("condition", f"`{q.over[0]}` AS x")
+            values = quantiles(inside, ["x"], [q.share], ["condition"]).withColumnRenamed(quantile_name("x", 0), "v")
+            parts.append(values.select(F.lit(k).alias("q"), "condition", text.alias("text"), number.alias("number"), F.col("v").cast("double").alias("v")))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def run_gate(spark: SparkSession, queries: Sequence[GateQuery], tables: dict[str, GateTables]) -> DataFrame:
     """Result rows of every query on the true table and under every condition, as one long table
-    (query_id, dataset, stratum, kind, condition, first, row, nums). Each table of a dataset is read once for all of them."""
-    out = None
-    for name, t in tables.items():
-        own = [q for q in queries if q.dataset == name]
-        if not own:
-            continue
-        facts = spark.createDataFrame(
-            [(k, q.id, q.stratum, q.kind, q.digits, q.top or 0, q.ranked) for k, q in enumerate(own)],
-            "q int, query_id string, stratum string, kind string, digits int, top int, ranked boolean",
-        )
-        found = _run_dataset(spark, own, t).join(F.broadcast(facts), "q").withColumn("dataset", F.lit(name))
-        out = found if out is None else out.unionByName(found)
+    (query_id, dataset, stratum, kind, condition, first, row, nums). Each table of a dataset is read once for all of them, and once
+    more for a percentile."""
+    numbered = list(enumerate(queries))
+    facts = spark.createDataFrame(
+        [(k, q.id, q.dataset, q.stratum, q.kind, q.digits, q.top or 0, q.ranked, q.measure in ("count", "distinct")) for k, q in numbered if q.dataset in tables],
+        "q int, query_id string, dataset string, stratum string, kind string, digits int, top int, ranked boolean, counts boolean",
+    )
+    found = reduce(lambda a, b: a.unionByName(b), [_run_dataset([x for x in numbered if x[1].dataset == name], t) for name, t in tables.items()])
+    # a query of all rows has a result where no row is left, too
+    grid = facts.filter("kind = 'scalar'").withColumn("condition", F.explode(F.array(*[F.lit(c) for c in ["true", *CONDITIONS]])))
+    scalars = grid.join(found, ["q", "condition"], "left").withColumn("v", F.when(F.col("counts"), F.coalesce("v", F.lit(0.0))).otherwise(F.col("v")))
+    out = scalars.unionByName(found.join(F.broadcast(facts.filter("kind = 'table'")), "q"))
     digits = sorted({q.digits for q in queries if q.digits is not None})
     value = reduce(lambda a, d: F.when(F.col("digits") == d, F.round("v", d)).otherwise(a), digits, F.col("v"))
     # groups of one query under one condition; ties in the order by group
-    order = Window.partitionBy("query_id", "condition").orderBy(F.desc_nulls_last(F.when(F.col("ranked"), F.col("v")).otherwise(F.col("value"))))
-    named = out.withColumn("value", value).withColumn("rnk", F.rank().over(order)).withColumn("place", F.row_number().over(order.orderBy(
-        F.desc_nulls_last(F.when(F.col("ranked"), F.col("v")).otherwise(F.col("value"))), F.asc_nulls_last("text"), F.asc_nulls_last("number"))))
+    best = F.desc_nulls_last(F.when(F.col("ranked"), F.col("v")).otherwise(F.col("value")))
+    each = Window.partitionBy("query_id", "condition")
+    named = out.withColumn("value", value).withColumn("rnk", F.rank().over(each.orderBy(best))).withColumn(
+        "place", F.row_number().over(each.orderBy(best, F.asc_nulls_last("text"), F.asc_nulls_last("number")))
+    )
     kept = named.filter((F.col("top") == 0) | (F.col("place") <= F.col("top")))
-    text_group = F.when(F.col("text").isNotNull() | F.col("number").isNull(), F.coalesce(F.lower(F.trim("text")), F.lit("NULL"))).otherwise(_cell(F.col("number")))
-    group = F.when(F.col("kind") == "table", text_group)
-    rank = F.when(F.col("ranked"), _cell(F.col("rnk")))
     is_table = F.col("kind") == "table"
+    group = F.when(is_table, F.when(F.col("number").isNotNull(), _cell(F.col("number"))).otherwise(F.coalesce(F.lower(F.trim("text")), F.lit("NULL"))))
+    rank = F.when(F.col("ranked"), _cell(F.col("rnk")))
     nums = F.when(F.col("ranked"), F.array("number", "value", F.col("rnk").cast("double"))).when(is_table, F.array("number", "value")).otherwise(F.array("value"))
     return kept.select(
         "query_id", "dataset", "stratum", "kind", "condition", F.coalesce(group, _cell(F.col("value"))).alias("first"),

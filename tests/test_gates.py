@@ -11,15 +11,15 @@ from plumbline.operators.inject import Family, inject
 from plumbline.operators.sampling import assign_folds, stratified_sample
 
 QUERIES = [
-    g.GateQuery("S1", "d", "x", ("v",), "s", "sum(v) {f}", 2),
-    g.GateQuery("S2", "d", "x", ("v", "w"), "r", "sum(v) {f} / nullif(sum(w) {f}, 0)", 4, where="v > 1"),
-    g.GateQuery("S3", "d", "x", ("k",), "n", "count(*) {f}", distinct="k"),
-    g.GateQuery("S4", "d", "x", ("v",), "p", "count(*) {f}", 3, percentile=("v", 0.9)),
-    g.GateQuery("S5", "d", "x", ("v",), "n", "count(*) {f}", where="v > 1000000"),
-    g.GateQuery("T1", "d", "x", ("k", "v"), "a", "avg(v) {f}", 2, by="k"),
-    g.GateQuery("T2", "d", "x", ("k", "w"), "a", "sum(w) {f}", by="k", top=2, ranked=True),
-    g.GateQuery("T3", "d", "x", ("c",), "n", "count(*) {f}", by="c", top=3),
-    g.GateQuery("T4", "d", "x", ("k", "v"), "a", "avg(v) {f}", 1, where="k LIKE 'A%'", by="k", top=3),
+    g.GateQuery("S1", "d", "x", ("v",), "s", "sum", ("v",), 2),
+    g.GateQuery("S2", "d", "x", ("v", "w"), "r", "ratio", ("v", "w"), 4, where="v > 1"),
+    g.GateQuery("S3", "d", "x", ("k",), "n", "distinct", ("k",)),
+    g.GateQuery("S4", "d", "x", ("v",), "p", "percentile", ("v",), 3, share=0.9),
+    g.GateQuery("S5", "d", "x", ("v",), "n", "count", where="v > 1000000"),
+    g.GateQuery("T1", "d", "x", ("k", "v"), "a", "avg", ("v",), 2, by="k"),
+    g.GateQuery("T2", "d", "x", ("k", "w"), "a", "sum", ("w",), by="k", top=2, ranked=True),
+    g.GateQuery("T3", "d", "x", ("c",), "n", "count", by="c", top=3),
+    g.GateQuery("T4", "d", "x", ("k", "v"), "a", "avg", ("v",), 1, where="k LIKE 'A%'", by="k", top=3),
 ]
 
 

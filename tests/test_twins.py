@@ -7,8 +7,6 @@ from tests.conftest import ROOT
 from tests.twin import compare, connect
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
-# twins that take long even on small data run in tests/twin.py
-SLOW = {"m6_perceptron_stacker", "m7_extended_stack", "m9_ablation", "m5_boosted_stacker", "m5_detector_pipeline", "m8_feature_importance"}
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +20,7 @@ def test_twin(spark, con, name):
     assert msg == ""
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SQL and n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SQL])
 def test_rows(spark, name):
     assert len(QUERIES[name](spark, ROOT).take(1)) == 1
 
