@@ -92,14 +92,11 @@ METRICS = ["completeness", "validity", "uniqueness", "consistency", "accuracy",
 
 
 def score_row(df: DataFrame, columns: Sequence[str] | None = None, compat: bool = False) -> DataFrame:
-    cols = list(columns or df.columns)
-    text = [c for c in text_columns(df) if c in cols]
-    nums = [c for c in numeric_columns(df) if c in cols]
-    parts = [
-        completeness(df, cols), validity(df, cols), uniqueness(df, cols),
-        consistency(df, text, compat), accuracy(df, nums),
-    ]
-    return overall(reduce(one_row, parts))
+    """All scores in one row, from one read of the table."""
+    from plumbline.operators.facts import Facts
+
+    found = Facts(df, list(columns or df.columns), compat).scores()
+    return df.sparkSession.createDataFrame([tuple(found[m] for m in METRICS)], ", ".join(f"{m} double" for m in METRICS))
 
 
 def quality_scores(df: DataFrame, columns: Sequence[str] | None = None, compat: bool = False) -> DataFrame:

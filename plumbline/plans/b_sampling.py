@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import sampling as s
 from plumbline.plans.registry import query
-from plumbline.plans.shapes import SCORED, scored, with_
+from plumbline.plans.shapes import PEOPLE, SCORED, people, scored, with_
 
 S = with_("s", SCORED)
 
@@ -44,6 +44,31 @@ def b3(t):
     return f.groupBy("fold", "y").agg(F.count(F.lit(1)).alias("n"), F.sum("row_id").alias("key_sum"))
 
 
+NULLS = with_("p", PEOPLE) + f""", n AS (SELECT segment, id, {md('strata', 'id')} AS h FROM p),
+    q AS (SELECT segment, least(greatest(1, CAST(round(count(*) * (400.0 / (SELECT count(*) FROM p))) AS BIGINT)), count(*)) AS take FROM n GROUP BY 1),
+    r AS (SELECT n.*, take, row_number() OVER (PARTITION BY n.segment ORDER BY h) AS rn FROM n JOIN q ON n.segment IS NOT DISTINCT FROM q.segment),
+    a AS (SELECT * FROM r WHERE rn <= take),
+    trim AS (SELECT id, segment FROM a ORDER BY {md('trim', 'id')} LIMIT 400),
+    top AS (SELECT id, segment FROM (SELECT *, row_number() OVER (ORDER BY {md('topup', 'id')}) AS k FROM r WHERE rn > take) z WHERE k <= 400 - (SELECT count(*) FROM a))
+    SELECT * FROM trim UNION ALL SELECT * FROM top"""
+
+
+@query("b2_null_stratum", NULLS)
+def b2_null(t):
+    """A stratum of NULLs gets its share; both plans are the same to the rows."""
+    return s.stratified_sample(people(t).select("id", "segment"), "segment", 400, "id")
+
+
+@query(
+    "b3_null_class",
+    with_("p", PEOPLE) + f""" SELECT segment, CAST(fold AS INTEGER) AS fold, count(*) AS n, CAST(sum(id) AS BIGINT) AS key_sum
+    FROM (SELECT segment, id, ntile(5) OVER (PARTITION BY segment ORDER BY {md('folds', 'id')}) - 1 AS fold FROM p) f GROUP BY 1, 2""",
+)
+def b3_null(t):
+    f = s.assign_folds(people(t).select("id", "segment"), 5, "id", label="segment")
+    return f.groupBy("segment", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("id").cast("bigint").alias("key_sum"))
+
+
 @query(
     "b4_plain_folds",
     f"""SELECT CAST(CAST('0x' || substr({md('folds', 'o_orderkey')}, 1, 8) AS BIGINT) % 5 AS INTEGER) AS fold,
