@@ -34,6 +34,9 @@ from plumbline.session import cut_lineage
 SKETCH_BITS, SKETCH_CHUNK, DEVIATIONS = 20, 1 << 16, 10.0
 #: Nodes in a block of the block comparison.
 BLOCK = 512
+#: Bits of the parity map of a set.
+PARITY_BITS = 512
+
 
 def _set_batches(batches, width: int):
     """(ids, sets) of bounded parts of the record batches."""
@@ -112,21 +115,33 @@ def _heads(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -> D
     def map_rows(batches):
         marks = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
         for ids, sets in _set_batches(batches, width):
-            nodes, singles, pairs = [], [], []
+            nodes, singles, pairs, parity = [], [], [], []
             for s in sets:
                 one, two = prefix_keys(s, marks, percent)
                 nodes.append(set_hash(s))
+                parity.append(parity_map(s))
                 singles.append(signed(one))
                 pairs.append(signed(two))
             yield pa.RecordBatch.from_arrays(
                 [
                     ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()),
-                    pa.array(singles, pa.list_(pa.int64())), pa.array(pairs, pa.list_(pa.int64())),
+                    pa.array(singles, pa.list_(pa.int64())), pa.array(pairs, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64())),
                 ],
-                names=["id", "n", "node", "singles", "pairs"],
+                names=["id", "n", "node", "singles", "pairs", "parity"],
             )
 
-    return docs.mapInArrow(map_rows, "id bigint, n bigint, node bigint, singles array<bigint>, pairs array<bigint>")
+    return docs.mapInArrow(map_rows, "id bigint, n bigint, node bigint, singles array<bigint>, pairs array<bigint>, parity array<bigint>")
+
+
+def parity_map(tokens: np.ndarray) -> np.ndarray:
+    """Whether an odd number of tokens falls on each of ``PARITY_BITS`` places, as 64-bit words.
+
+    Two maps differ in at most as many places as the sets differ in tokens, and, unlike a map of the places that are hit, they do not
+    fill up: unrelated sets differ in about half of the places.
+    """
+    with np.errstate(over="ignore"):
+        place = (mix64(tokens * np.uint64(0xA24BAED4963EE407)) % np.uint64(PARITY_BITS)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=PARITY_BITS) & 1).astype(bool)).view(np.int64)
 
 
 def set_hash(tokens: np.ndarray) -> int:
@@ -177,14 +192,23 @@ def _enough(shared: Column, percent: int) -> Column:
     return F.lit(100) * shared >= F.lit(percent) * (F.col("nu") + F.col("nv") - shared)
 
 
+def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs that sizes and parity maps don't rule out: similar sets differ in few tokens. Small rows, before any token moves."""
+    side = lambda a: nodes.select(F.col("node").alias(a), F.col("n").alias(f"n{a}"), F.col("parity").alias(f"s{a}"))
+    met = pairs.join(side("u"), "u").join(side("v"), "v")
+    fits = F.lit(100) * F.least("nu", "nv") >= F.lit(percent) * F.greatest("nu", "nv")
+    differ = F.aggregate(F.zip_with("su", "sv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    return cut_lineage(met.filter(fits & (F.lit(100 + percent) * differ <= F.lit(100 - percent) * (F.col("nu") + F.col("nv")))).select("u", "v"))
+
+
 def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs that sizes and prefixes don't rule out.
+    """Pairs that sizes, parity maps and prefixes don't rule out.
 
     Up to the smaller of the last rare prefix tokens, both prefixes hold all rare tokens: two sets share at most what they
     share there and the smaller rest.
     """
     fits = F.lit(100) * F.least("nu", "nv") >= F.lit(percent) * F.greatest("nu", "nv")
-    met = _sides(pairs, nodes.select("node", "n", F.col("singles").alias("part"))).filter(fits)
+    met = _sides(_near(pairs, nodes, percent), nodes.select("node", "n", F.col("singles").alias("part"))).filter(fits)
     known = [F.size(F.filter(p, lambda x: (x <= F.col("ru")) & (x <= F.col("rv")))) for p in ("pu", "pv")]
     shared = F.size(F.array_intersect("pu", "pv")).cast("bigint")
     bound = shared + F.least(F.col("nu") - known[0], F.col("nv") - known[1])
@@ -346,7 +370,7 @@ def jaccard_components(
     frequent = _sketch(rows, width)
     heads = _heads(rows, width, percent, frequent)
     nodes = cut_lineage(
-        heads.filter("n > 0").groupBy("node", "n").agg(F.min("id").alias("id"), F.first("singles").alias("singles"), F.first("pairs").alias("pairs"))
+        heads.filter("n > 0").groupBy("node", "n").agg(F.min("id").alias("id"), F.first("singles").alias("singles"), F.first("pairs").alias("pairs"), F.first("parity").alias("parity"))
     )
     singles = cut_lineage(
         nodes.select("node", F.explode("singles").alias("key")).groupBy("key").agg(F.collect_list("node").alias("members")).filter(F.size("members") > 1)
