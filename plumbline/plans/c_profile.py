@@ -39,9 +39,15 @@ def c2(t):
     return p.distinct_stats(people(t))
 
 
-@query("c2_distinct_stats_approx")
+@query(
+    "c2_distinct_stats_approx",
+    P + stack(PEOPLE_COLUMNS, """SELECT '$c' AS "column", CAST(count(DISTINCT $c) AS DOUBLE) AS distinct_count, TRUE AS within FROM p"""),
+)
 def c2_approx(t):
-    return p.distinct_stats(people(t), exact=False)
+    """The sketch's counts lie within 5 % of the exact ones."""
+    count = lambda exact, name: p.distinct_stats(people(t), exact=exact).filter("metric = 'distinct_count'").select("column", F.col("value").alias(name))
+    near = F.abs(F.col("approx") - F.col("distinct_count")) <= 0.05 * F.col("distinct_count")
+    return count(True, "distinct_count").join(count(False, "approx"), "column").select("column", "distinct_count", near.alias("within"))
 
 
 STATS = {"min": "min($c)", "max": "max($c)", "mean": "avg($c)", "std": "stddev_samp($c)", "median": "quantile_cont($c, 0.5)"}

@@ -44,9 +44,37 @@ def g9(t):
     return r6(m.iterative_impute(gaps(t), "row_id", COLS), *COLS).select("row_id", *COLS)
 
 
-@query("g10_ml_fill_knn")
+@query(
+    "g9_two_columns",
+    f"""WITH g AS ({duck(GAPS)}), r AS (SELECT regr_slope(bill, lim) AS b, regr_intercept(bill, lim) AS a FROM g)
+    SELECT row_id, round(coalesce(bill, a + b * lim), 3) AS bill FROM g, r""",
+)
+def g9_two(t):
+    """One column with gaps and one predictor: the chained regression is the least-squares line."""
+    full = m.iterative_impute(gaps(t).select("row_id", "bill", "lim"), "row_id", ["bill", "lim"])
+    return full.select("row_id", F.round("bill", 3).alias("bill"))
+
+
+MODE = "(SELECT sex FROM g WHERE sex IS NOT NULL GROUP BY sex ORDER BY count(*) DESC, sex LIMIT 1)"
+
+
+@query(
+    "g10_ml_fill_knn",
+    f"""WITH g AS ({duck(GAPS)}) SELECT g.row_id, round(coalesce(g.bill, b.v), 6) AS bill, round(coalesce(g.age, a.v), 6) AS age, round(lim, 6) AS lim, round(pay, 6) AS pay,
+    coalesce(sex, {MODE}) AS sex FROM g LEFT JOIN {knn_sql('bill')} b ON b.row_id = g.row_id LEFT JOIN {knn_sql('age')} a ON a.row_id = g.row_id""",
+)
 def g10(t):
-    return m.ml_impute(gaps(t), "row_id", method="knn")
+    return r6(m.ml_impute(gaps(t), "row_id", method="knn"), *COLS)
+
+
+@query(
+    "g10_ml_fill_two_columns",
+    f"""WITH g AS ({duck(GAPS)}), r AS (SELECT regr_slope(bill, lim) AS b, regr_intercept(bill, lim) AS a FROM g)
+    SELECT row_id, round(coalesce(bill, a + b * lim), 3) AS bill, coalesce(sex, {MODE}) AS sex FROM g, r""",
+)
+def g10_two(t):
+    out = m.ml_impute(gaps(t).select("row_id", "bill", "lim", "sex"), "row_id", method="iterative")
+    return out.select("row_id", F.round("bill", 3).alias("bill"), "sex")
 
 
 @query("g10_ml_fill_iterative")
