@@ -261,7 +261,7 @@ class Manifest:
     def proofs(self) -> DataFrame:
         """(id, leaf, subroot, root, proof_sha256, folded_root, verified) of every row.
 
-        ``folded_root`` comes from the row's ``changed`` leaf, if it has one, and the original siblings.
+        ``folded_root`` comes from the row's ``changed`` leaf, or its own where it has none, and the original siblings.
         """
         kinds = {f.name: f.dataType.simpleString() for f in self.leaves.schema}
         names = ("id", "leaf", "subroot", "root", "proof_sha256", "folded_root")
@@ -272,7 +272,7 @@ class Manifest:
         def give(tree, row, value, own, upper, top):
             siblings = "".join(left + right for left, right in own) + "".join(left + right for left, right in upper)
             changed = row[4]
-            folded = root if changed is None else fold(fold(changed.hex(), own), upper)
+            folded = fold(fold(value if changed is None else changed.hex(), own), upper)
             return row[3], value, top, root, digest(siblings), folded
 
         texts = self.leaves.withColumn("id", F.col("id").cast("string")).withColumn("changed", F.when(F.col("changed") != F.col("digest"), F.col("changed")))

@@ -114,3 +114,10 @@ def test_one_source(spark, n):
 def test_empty(spark):
     manifest, got = proofs(spark, [])
     assert got == [] and manifest.root is None and manifest.witnesses().count() == 0
+
+
+def test_every_leaf_is_folded_up(spark):
+    rows = [(k, "ab"[k % 2], f"text {k}") for k in range(40)]
+    made = merkle.build(spark.createDataFrame(rows, "doc_id bigint, source string, text string"), ["doc_id", "source", "text"])
+    root, made.root = made.root, "0" * 64  # a root that no leaf gives
+    assert {(r["folded_root"], r["verified"]) for r in made.proofs().collect()} == {(root, False)}
