@@ -93,3 +93,19 @@ def test_mismatch_candidates_with_a_hot_name(spark):
     rows = [(i, "Ann Stone", f"ann.stone{i}@x.com") for i in range(50)] + [(99, "Ann Stone", "bob@x.com"), (100, "Bob Rivers", "zz9@x.com"), (101, "Kim Lee", "qqq@x.com")]
     got = {r["key"]: r["candidates"] for r in name_email_mismatch(spark.createDataFrame(rows, "id long, name string, email string"), "id", "name", "email").collect()}
     assert got == {99: [0, 1], 100: [99]}
+
+
+def test_outlines_bound_every_similarity(spark):
+    """The product of two outlines of any length is no smaller than the similarity, and rules most unrelated pairs out."""
+    rng = random.Random(9)
+    docs = [" ".join(f"w{rng.randrange(900)}" for _ in range(rng.choice([5, 30, 200, 700]))) for _ in range(40)]
+    docs += [d + " w1" for d in docs[:10]]
+    vectors = s.tfidf(s.bags(spark.createDataFrame(list(enumerate(docs)), "id long, text string"), "id", ["text"])[1]).cache()
+    shapes = s.outlines(vectors).cache()
+    weights = {r["doc"]: dict(zip(r["terms"], r["weights"])) for r in vectors.collect()}
+    sims = {(a, b): sum(x * weights[b].get(t, 0) for t, x in weights[a].items()) for a, b in combinations(sorted(weights), 2)}
+    pairs = spark.createDataFrame(list(sims), "doc_a long, doc_b long")
+    for threshold in (0.05, 0.3, 0.85):
+        left = {(r["doc_a"], r["doc_b"]) for r in s._likely(pairs, shapes, threshold).collect()}
+        assert {p for p, v in sims.items() if v >= threshold} <= left
+    assert len(left) < len(sims) / 2
