@@ -4,7 +4,7 @@ High-recall generators propose spans, which may overlap; boosted trees score eac
 threshold per kind, calibrated on held-out candidates, selects the redactions. The base kinds are always reported, and
 they label the training candidates: a candidate is personal if a base span covers the same place. The trees don't see
 the checks that make a base span (they see shapes and surroundings), so they carry over to spans that the strict
-patterns miss. Fitting uses at most ``FIT_ROWS`` candidates, those with the smallest hashes; scoring covers all.
+patterns miss. Fitting and calibration use all candidates, a fourth of them held out by hash; ``fit_rows`` can bound them.
 DataFrame and Spark ML operations only.
 """
 
@@ -35,7 +35,7 @@ WIDE = {
     "digits_like": r"[0-9](?:[\x20.-]?[0-9]){9,}+",
     "phone_like": r"(?:\+|\()[0-9][\x20().0-9-]{7,}[0-9]",
 }
-FIT_ROWS, TREES, DEPTH = 4000, 10, 3
+TREES, DEPTH = 10, 3
 #: Least precision on held-out candidates that a threshold must reach.
 PRECISION = 0.95
 CONTEXT = 24
@@ -90,10 +90,11 @@ def features() -> list[Column]:
     return shape + kind + [before.rlike(words).cast("double") for words in WORDS.values()]
 
 
-def _fit(candidates: DataFrame, fit_rows: int):
-    """Trees and a threshold a kind, from the candidates with the smallest hashes; None without both labels."""
-    pick = F.xxhash64("value", "before", "after")
-    sample = cut_lineage(candidates.withColumn("order", pick).orderBy("order").limit(fit_rows).withColumn("held", F.pmod(F.col("order"), F.lit(4)) == 0))
+def _fit(candidates: DataFrame, fit_rows: int | None):
+    """Trees and a threshold a kind, from all candidates or the ``fit_rows`` with the smallest hashes; None without both labels."""
+    ordered = candidates.withColumn("order", F.xxhash64("value", "before", "after"))
+    chosen = ordered if fit_rows is None else ordered.orderBy("order").limit(fit_rows)
+    sample = cut_lineage(chosen.withColumn("held", F.pmod(F.col("order"), F.lit(4)) == 0))
     seen = sample.filter("NOT held").groupBy("label").count().count()  # two rows at most
     if seen < 2:
         return None, {}
@@ -110,7 +111,7 @@ def _fit(candidates: DataFrame, fit_rows: int):
     return model, limits
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, prefix: str = "private_") -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int | None = None, prefix: str = "private_") -> DataFrame:
     """All rows with ``private_base`` and ``private_spans`` (arrays of start, rank, kind, end, value, places in code points).
 
     Added spans that overlap a base span are left out; of added spans that overlap, the likelier stays (ties: the earlier, then the
