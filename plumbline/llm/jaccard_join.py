@@ -237,6 +237,21 @@ def _open_lists(entries: DataFrame, labels: DataFrame) -> DataFrame:
     return seen.join(several, "key")
 
 
+def _cross_pairs(rest: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of different components in lists of rare tokens that may be similar by the places of the token in both prefixes.
+
+    If it is the first token that two sets share, they share at most what follows it in both; a similar pair stands in the list of
+    its first shared token.
+    """
+    placed = nodes.select("node", "n", "singles").join(sized_broadcast(rest), "node")
+    left = F.col("n") - F.array_position("singles", F.col("key")) + 1
+    placed = cut_lineage(placed.select("key", "node", "component", "n", left.alias("left")))
+    x = placed.toDF("key", "u", "cu", "nu", "lu")
+    y = placed.toDF("key", "v", "cv", "nv", "lv")
+    enough = F.lit(100 + percent) * F.least("lu", "lv") >= F.lit(percent) * (F.col("nu") + F.col("nv"))
+    return x.join(y, "key").filter(enough & F.expr("u < v AND cu <> cv")).select("u", "v").distinct()
+
+
 def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
@@ -391,9 +406,7 @@ def jaccard_components(
 
     # what is left is compared across components
     rest = cut_lineage(_open_lists(_entries(singles), labels))
-    x = rest.select("key", F.col("node").alias("u"), F.col("component").alias("cu"))
-    y = rest.select("key", F.col("node").alias("v"), F.col("component").alias("cv"))
-    cross = x.join(y, "key").filter("u < v AND cu <> cv").select("u", "v").distinct().join(star, ["u", "v"], "left_anti")
+    cross = _cross_pairs(rest, nodes, percent).join(star, ["u", "v"], "left_anti")
     likely = _likely(cut_lineage(cross), nodes, percent)
     still = cut_lineage(_open_lists(doubles, labels))
     sets = _tokens(rows, nodes, _ends(likely).unionByName(still.select("node")), width)
