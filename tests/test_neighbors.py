@@ -81,3 +81,26 @@ def test_knn_impute_with_gaps(spark, blocks):
     df = spark.createDataFrame(pd.DataFrame(x, columns=list("abc")).assign(k=range(200)).astype(object).where(lambda f: f.notna(), None), "a double, b double, c double, k long")
     got = nb.knn_impute(df, "k", ["a", "b", "c"]).toPandas().sort_values("k")[list("abc")].to_numpy(dtype=float)
     assert np.allclose(got, want)
+
+
+def test_knn_distance_in_many_dimensions(spark, blocks, monkeypatch):
+    """Distances by matrix products, queries that weigh few blocks at a time, far from the origin, with ties."""
+    monkeypatch.setattr(nb, "CELLS", 7)
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(200, 12)), 1) + 1000.0
+    x[50:90] = x[0] + np.eye(12)[rng.integers(0, 12, 40)]
+    names = [f"e{j}" for j in range(12)]
+    got = nb.knn_distance(frame(spark, x, names), "k", names, 5).toPandas().sort_values("key")
+    assert np.allclose(got["knn"], np.sort(brute(x, 5), axis=1)[:, 4], rtol=0, atol=1e-9)
+
+
+def test_few_queries_meet_the_blocks_at_a_time():
+    """Matrix products keep every pair that may be among the nearest, ties included."""
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(120, 10)), 0)
+    frame_ = pd.DataFrame(x, columns=[f"e{j}" for j in range(10)]).assign(pid=range(120), mult=1, bound=np.inf)
+    got = nb._search(frame_, frame_, [f"e{j}" for j in range(10)], 4)
+    d = brute(x, 4)
+    for i in range(120):
+        want = sorted((d[i, j], j) for j in range(120) if j != i)[:4]
+        assert [(a, b) for a, b in got[got["pid"] == i][["dist", "nid"]].itertuples(index=False)] == want
