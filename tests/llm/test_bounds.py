@@ -30,3 +30,5 @@ def test_private_fit_takes_all_candidates(spark, monkeypatch):
     rows = [(k, f"write to a{k}@b.example now" if k % 2 else f"call (555) 010-{k:05d} now") for k in range(7000)]
     private_spans.find(spark.createDataFrame(rows, "doc_id bigint, text string")).count()
     assert len(seen) == 1 and seen[0] > 4500
+    for kept in list(spark.sparkContext._jsc.getPersistentRDDs().values()):  # Spark ML leaves some to the garbage collector
+        kept.unpersist()
