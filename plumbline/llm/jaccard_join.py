@@ -241,9 +241,9 @@ def _cross_pairs(rest: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) of different components in lists of rare tokens that may be similar by the places of the token in both prefixes.
 
     If it is the first token that two sets share, they share at most what follows it in both; a similar pair stands in the list of
-    its first shared token.
+    its first shared token. The entries grow with the table, so they are shuffled, never sent to the driver.
     """
-    placed = nodes.select("node", "n", "singles").join(sized_broadcast(rest), "node")
+    placed = nodes.select("node", "n", "singles").join(rest.hint("merge"), "node")
     left = F.col("n") - F.array_position("singles", F.col("key")) + 1
     placed = cut_lineage(placed.select("key", "node", "component", "n", left.alias("left")))
     x = placed.toDF("key", "u", "cu", "nu", "lu")
