@@ -99,3 +99,22 @@ def test_page_differencing_steps_past_copies(spark):
     assert all(text[100 + k] == whole for k in range(30))
     assert all(text[200 + k] == whole + f"\n\nprinted again on day {k}" for k in range(4))
     assert all(text[300 + k] == f"something else altogether {k} here" for k in range(8))
+
+
+def test_page_differencing_inside_articles(spark):
+    """A notice that the articles of a host repeat goes; a passage of two articles, copies and articles of template lines alone stay whole."""
+    page = "<article><h1>Title {0}</h1><p>the long own text of the article with number {0}</p>{1}</article>"
+    story = "".join(f"<p>paragraph {k} of the story</p>" for k in range(6))
+    rows = [(k, f"http://n.example/{k}", page.format(k, "<p>sign up for our letter</p>")) for k in range(6)]
+    rows += [(10 + k, f"http://p.example/{k}", page.format(k, "<p>a quoted passage</p>" if k < 2 else "")) for k in range(6)]
+    rows += [(20 + k, f"http://c.example/{k}", page.format(7, story + f"<p>day {k}</p>")) for k in range(4)]
+    rows += [(40 + k, f"http://c.example/x{k}", page.format(40 + k, "")) for k in range(8)]
+    rows += [(30, "http://n.example/3b", "<div>Home</div><article><p>sign up for our letter</p></article>")]
+    got = page_diff.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    text = {r["page_id"]: r["main_text"].split("\n\n") for r in got.collect()}
+    own = lambda k: [f"Title {k}", f"the long own text of the article with number {k}"]
+    assert all(text[k] == own(k) for k in range(6))
+    assert all(text[10 + k] == own(k) + ["a quoted passage"] * (k < 2) for k in range(6))
+    assert all(text[20 + k] == own(7) + [f"paragraph {j} of the story" for j in range(6)] + [f"day {k}"] for k in range(4))
+    assert all(text[40 + k] == own(40 + k) for k in range(8))
+    assert text[30] == ["sign up for our letter"]
