@@ -21,3 +21,10 @@ def large(spark):
     spark.conf.set("spark.plumbline.smallBytes", "0")
     yield spark
     spark.conf.unset("spark.plumbline.smallBytes")
+
+
+@pytest.fixture(autouse=True)
+def uncached(spark):
+    """What a test caches does not count in the next."""
+    yield
+    spark.catalog.clearCache()
