@@ -109,3 +109,23 @@ def test_outlines_bound_every_similarity(spark):
         left = {(r["doc_a"], r["doc_b"]) for r in s._likely(pairs, shapes, threshold).collect()}
         assert {p for p, v in sims.items() if v >= threshold} <= left
     assert len(left) < len(sims) / 2
+
+
+@pytest.mark.parametrize("cell", [1 << 26, 2000])
+def test_vectors_move_once_a_cell(spark, monkeypatch, cell):
+    """A document that meets many others moves once a cell of pairs, with string keys too, and similarities stay exact."""
+    rng = random.Random(4)
+    docs = [" ".join(f"w{rng.randrange(300)}" for _ in range(rng.choice([3, 60, 150]))) for _ in range(30)]
+    docs += [d + " w1 w2" for d in docs]
+    vectors = s.tfidf(s.bags(spark.createDataFrame([(f"k{i:03d}", t) for i, t in enumerate(docs)], "id string, text string"), "id", ["text"])[1]).cache()
+    weights = {r["doc"]: dict(zip(r["terms"], r["weights"])) for r in vectors.collect()}
+    sims = {(a, b): sum(x * weights[b].get(t, 0) for t, x in weights[a].items()) for a, b in combinations(sorted(weights), 2)}
+    moved, by_cells = [], s._by_cells
+    monkeypatch.setattr(s, "CELL", cell)
+    monkeypatch.setattr(s, "_by_cells", lambda pairs, rows, parts, *rest: moved.append((rows.count(), parts)) or by_cells(pairs, rows, parts, *rest))
+    pairs = spark.createDataFrame(list(sims), "doc_a string, doc_b string")
+    got = {(r["doc_a"], r["doc_b"]): r["sim"] for r in s._verified(pairs, vectors, 0.2, s.outlines(vectors).cache()).collect()}
+    want = {p: v for p, v in sims.items() if v > 0.2}
+    assert got.keys() == want.keys() and all(abs(got[p] - v) < 1e-12 for p, v in want.items())
+    assert len(moved) == 2 and all(n <= len(weights) * parts for n, parts in moved)
+    assert min(parts for _, parts in moved) > (10 if cell == 2000 else 1)
