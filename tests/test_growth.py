@@ -91,3 +91,22 @@ def test_perceptron_folds_share_their_passes(spark, monkeypatch):
     out = stack(df, "k", "y", ["a", "b"], "perceptron", folds=2, name="p").collect()
     assert len(out) == 400 and len(passes) < 200 and passes[0] == 2
     assert sum((r["p"] > 0.5) == (r["y"] == 1) for r in out) > 340
+
+
+def test_perceptron_reads_chunks_from_small_files(spark, monkeypatch):
+    """A task holds a few chunks, not its partition: files are bounded by bytes, and a step's sums are those of all rows at once."""
+    rng = np.random.default_rng(5)
+    rows = [(int(k % 2), float(x), float(z), int(k % 3)) for k, (x, z) in enumerate(rng.normal(size=(2400, 2)))]
+    df = spark.createDataFrame(rows, "y int, a double, b double, _fold int").repartition(24)
+    monkeypatch.setattr(perceptron, "HELD", 4000)
+    seen, sums = [], perceptron._sums
+    monkeypatch.setattr(perceptron, "_sums", lambda packed, *rest: seen.append(packed) or sums(packed, *rest))
+    perceptron.fit(df, "y", ["a", "b"], [3], 2, 1)
+    assert len(seen[0].inputFiles()) > 2400 * 40 // 4000 / 2
+    w = perceptron.start([2, 3, 2], 1)
+    got = sums(seen[0], [2, 3, 2], {0: w, 7: w})
+    table = np.array(rows)
+    for m in (0, 7):
+        use = table[table[:, 3] != m]
+        value, gradient = perceptron.loss(w, [2, 3, 2], use[:, 1:3].T, use[:, 0])
+        assert abs(got[m][0] - value / len(use)) < 1e-12 and np.allclose(got[m][1], gradient / len(use), atol=1e-12)
