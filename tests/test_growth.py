@@ -1,6 +1,7 @@
 """Steps whose cost grew faster than the table: dirt, blocks over gaps, sums of gate queries, perceptrons."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import gates as g
@@ -110,3 +111,28 @@ def test_perceptron_reads_chunks_from_small_files(spark, monkeypatch):
         use = table[table[:, 3] != m]
         value, gradient = perceptron.loss(w, [2, 3, 2], use[:, 1:3].T, use[:, 0])
         assert abs(got[m][0] - value / len(use)) < 1e-12 and np.allclose(got[m][1], gradient / len(use), atol=1e-12)
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+def test_queries_of_many_features_move_once_a_part(spark, monkeypatch, gaps):
+    """With many features a query goes to parts of many blocks, once each, and finds the same neighbours as by blocks and by brute force."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 10)).round(2)
+    rows = [(k, *[None if gaps and (k + j) % 40 == 0 else float(v) for j, v in enumerate(r)]) for k, r in enumerate(x)]
+    fs = [f"c{j}" for j in range(10)]
+    df = spark.createDataFrame(rows, "id bigint, " + ", ".join(f"{c} double" for c in fs)).repartition(3)
+    monkeypatch.setattr(neighbors, "BLOCK", 20)
+    moved, join = [], neighbors.bounded_join
+    monkeypatch.setattr(neighbors, "bounded_join", lambda big, side, on, **kw: (moved.append(big.count()) if "bound" in big.columns else None) or join(big, side, on, **kw))
+    found = []
+    for wide in (8, 99):
+        monkeypatch.setattr(neighbors, "WIDE", wide)
+        found.append({r["key"]: r["knn"] for r in neighbors.knn_distance(df, "id", fs, 3).collect()})
+    assert moved[1] < moved[3] / 3 and moved[1] <= 600 * 6
+    points = np.array([[np.nan if v is None else v for v in r[1:]] for r in rows])
+    for k in range(0, 600, 7):
+        d = neighbors._distances(points[k : k + 1], points)[0]
+        d[k] = np.inf
+        want = np.sort(d)[2]
+        assert abs(found[0][k] - want) < 1e-9 and abs(found[1][k] - want) < 1e-9
+    assert found[0].keys() == found[1].keys() == set(range(600))
